@@ -156,7 +156,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = checkpointed(rows.select("rid", "doc_id", "fp", F.sha2("body", 256).alias("text_sha256")))
     total = narrow.count()
     repeated = checkpointed(repeated_fingerprints(narrow, total, filter_rows))
-    words = repeated.select(F.col("fp").bitwiseAND(F.lit(route_bits - 1)).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1), F.col("bit").bitwiseAND(F.lit(7)).cast("int"))).alias("byte"))
+    words = repeated.select(F.col("fp").bitwiseAND(F.lit(route_bits - 1)).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("byte"))
     bitmap = np.zeros(route_bits // 8, np.uint8)
     if found := words.toArrow():
         bitmap[found.column("at").to_numpy()] = found.column("byte").to_numpy().astype(np.uint8)
