@@ -6,6 +6,8 @@ import re
 import tempfile
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,43 @@ def words_of(text: str) -> list[str]:
 def chunked(items: list, size: int) -> Iterable[list]:
     for at in range(0, len(items), size):
         yield items[at : at + size]
+
+
+def id_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits with the low bits of every ``column`` value set.
+
+    Its size is fixed, however many keys there are; the driver receives ``bits`` / 8 small
+    rows at most.
+    """
+    at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("byte"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    found = words.toArrow()
+    if len(found):
+        bitmap[found.column("at").to_numpy()] = found.column("byte").to_numpy().astype(np.uint8)
+    return bitmap
+
+
+def in_bitmap(batch: pa.RecordBatch, column: str, bitmap: np.ndarray) -> pa.RecordBatch:
+    """Rows whose ``column`` may be among the bitmap's keys. A filter that saves shuffling
+    only: an exact join follows."""
+    at = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64) & (8 * len(bitmap) - 1)
+    return batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+
+
+def routed(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFrame:
+    """``rows`` semi-joined with ``keys`` on ``column``; a bitmap goes ahead of the shuffle."""
+    bitmap = id_bitmap(keys, column, bits)
+
+    def run(batches):
+        for batch in batches:
+            yield in_bitmap(batch, column, bitmap)
+
+    return rows.mapInArrow(run, rows.schema).join(keys.select(column), column, "left_semi")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of unsigned 64-bit integers (splitmix64's finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galena.llm._common import documents
+from galena.llm._common import documents, in_training
 from galena.llm.bpe import bpe_round_trip
 from galena.llm.exact_dedup import exact_dedup
+from galena.llm.repeated_spans import repeated_spans
 from galena.llm.secret_scan import secret_scan
 from galena.llm.sharding import shard_by_splitters
 from galena.llm.simple8b import token_files
+from galena.llm.toxicity import CompressionModel, fit_toxicity, score_toxicity
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,11 +35,26 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), WORD_FILE, end_id=1)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> CompressionModel:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return fit_toxicity(docs, labels, training=in_training(F.col("doc_id"), 4, 2))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.withColumn("held_out", ~in_training(F.col("doc_id"), 4, 2))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(documents(spark, sf_dir), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op8_sharding)}
+def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir), width=400).drop("rid")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op7_toxicity, op8_sharding, op10_repeated_spans)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
