@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from galena.llm._common import documents, in_training
 from galena.llm.bpe import bpe_round_trip
 from galena.llm.exact_dedup import exact_dedup
+from galena.llm.near_dedup import near_dedup
 from galena.llm.repeated_spans import repeated_spans
 from galena.llm.secret_scan import secret_scan
 from galena.llm.sharding import shard_by_splitters
@@ -50,11 +51,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(documents(spark, sf_dir), shards=8)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), words=5, percent=75).drop("rid", "keep_rid")
+
+
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir), width=400).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op7_toxicity, op8_sharding, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op7_toxicity, op8_sharding, op9_near_dedup, op10_repeated_spans)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
