@@ -1,10 +1,57 @@
-"""A corpus pipeline of the operators in ``galena.llm``."""
+"""A corpus pipeline of the operators in ``galena.llm``.
+
+Stages, in order: toxic documents go; of exact copies one stays; of near copies one stays;
+documents that hold benchmark items go; the rest is encoded to token ids and decoded again.
+Each stage takes ``(spark, docs, sf_dir)`` and works on every row it is given; all but the
+last return the columns of ``docs`` unchanged, whatever they are called.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from galena.llm.bpe import bpe_round_trip
+from galena.llm.decontaminate import decontaminate
+from galena.llm.exact_dedup import exact_dedup
+from galena.llm.near_dedup import near_dedup
+from galena.llm.queries import RANK_FILE, toxicity_model
+from galena.llm.row_filter import without
+from galena.llm.toxicity import THRESHOLD, score_column
+
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    score = score_column(toxicity_model(spark, docs, sf_dir))
+    return docs.where(score(docs["text"]) < THRESHOLD)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, exact_dedup(docs).where("not kept").select("rid"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, near_dedup(docs).where("rid <> keep_rid").select("rid"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontaminate(docs, benchmark).select("rid").distinct())
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(docs, RANK_FILE, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("byte-level BPE", encode),
+]
+
+#: SQL cannot express sketches, alignments or compression; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -65,11 +65,12 @@ PACKETS = "block long, bucket int, keys binary, counts binary"
 ANSWERS = "block long, bucket int, totals binary"
 
 
-def totals(sent: DataFrame, columns: int, answer) -> DataFrame:
+def totals(sent: DataFrame, columns: int, answer, tally=None) -> DataFrame:
     """Answers ``block, bucket, totals`` to ``packets``.
 
     ``answer`` turns the totals of a packet's keys (a row per key) into the unsigned integers
-    that are sent back.
+    that are sent back. ``tally``, if given, makes one integer of the totals of all distinct
+    keys of a bucket; it comes as a row of block -1.
     """
 
     def add_up(key, table):
@@ -83,11 +84,21 @@ def totals(sent: DataFrame, columns: int, answer) -> DataFrame:
         for own in keys:
             out.append(zipped(squeeze(answer(total[where[at : at + len(own)]]))))
             at += len(own)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": pa.array(out, pa.binary())})
+        blocks, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        if tally is not None:
+            blocks, buckets = [*blocks, -1], [*buckets, key[0].as_py()]
+            out.append(zipped(squeeze(np.array([tally(total)]))))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "totals": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(add_up, ANSWERS)
 
 
+def tallied(answers: DataFrame) -> dict[int, int]:
+    """The tally of each bucket."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    return {r["bucket"]: int(unsqueeze(unzip(bytes(r["totals"])))[0]) for r in answers.where("block = -1").select("bucket", "totals").collect()}
+
+
 def answered(table: pa.Table, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """What came back for ``keys``, in their order; ``table`` holds one block's answers."""
     order = np.lexsort((keys, bucket))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from galena.llm._common import documents, in_training
 from galena.llm.bpe import bpe_round_trip
+from galena.llm.decontaminate import decontaminate
 from galena.llm.exact_dedup import exact_dedup
+from galena.llm.interpolation import interpolated_scores
 from galena.llm.near_dedup import near_dedup
 from galena.llm.repeated_spans import repeated_spans
 from galena.llm.secret_scan import secret_scan
@@ -24,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir), repo_col="source", owner_col="source")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_scores(documents(spark, sf_dir), modulus=7, left_out=2).drop("rid")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("rid")
 
@@ -36,6 +42,11 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), WORD_FILE, end_id=1)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(documents(spark, sf_dir), benchmark).drop("rid")
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> CompressionModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return fit_toxicity(docs, labels, training=in_training(F.col("doc_id"), 4, 2))
@@ -59,7 +70,7 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir), width=400).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op7_toxicity, op8_sharding, op9_near_dedup, op10_repeated_spans)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_deleted_interpolation, op3_exact_dedup, op4_byte_bpe, op5_simple8b, op6_decontamination, op7_toxicity, op8_sharding, op9_near_dedup, op10_repeated_spans)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
