@@ -11,6 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from galena.llm._common import checkpointed
 from galena.llm.bpe import bpe_round_trip
 from galena.llm.decontaminate import decontaminate
 from galena.llm.exact_dedup import exact_dedup
@@ -57,6 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))  # rows are numbered anew in each stage
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,4 +35,4 @@ def without(docs: DataFrame, dropped: DataFrame, bits: int = BITMAP_BITS) -> Dat
     rows = rows.withColumn(f"{name}_listed", listed(name))
     passed = rows.where(~F.col(f"{name}_listed"))
     judged = rows.where(F.col(f"{name}_listed")).join(dropped, name, "left_anti")
-    return passed.unionByName(judged).select([F.col(f"`{c}`") for c in docs.columns])
+    return passed.unionByName(judged).select(["`" + c.replace("`", "``") + "`" for c in docs.columns])
