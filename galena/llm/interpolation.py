@@ -17,7 +17,10 @@ from galena.llm._exchange import PACKETS, answered, buckets_for, packets, tallie
 from galena.llm._shingles import word_hashes
 
 #: Tokens of one block of documents.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
+#: Bits of a pair's key within its bucket of about a million. About one pair in a million
+#: shares a key with another, at any size of the corpus; single words keep 64 bits.
+PAIR_BITS = 40
 #: Contexts are put in buckets by the binary logarithm of their frequency, up to this one.
 CONTEXT_BUCKETS = 20
 #: Natural-log steps into which probabilities are cut for the weights' estimation.
@@ -85,11 +88,17 @@ def remainders(doc_ids: list[int | None], modulus: int) -> np.ndarray:
 
 
 def _write_block(rids: list[int], doc_ids: list[int | None], lengths: list[int], hashes: list[np.ndarray]) -> tuple[bytes, int, int]:
-    vocabulary, local = np.unique(np.concatenate(hashes), return_inverse=True)
+    vocabulary, local, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    # Frequent words get small numbers, whose upper bytes are zeros and compress well.
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    vocabulary, local = vocabulary[order], rank[local]
+    planes = local.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
     known = np.array([d is not None for d in doc_ids], "<i8")
     head = np.array([len(rids), len(vocabulary)], "<i8")
     ids = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    raw = b"".join(x.tobytes() for x in (head, np.array(rids, "<i8"), ids, known, np.array(lengths, "<i8"), vocabulary.astype("<u8"), local.astype("<u4")))
+    raw = b"".join(x.tobytes() for x in (head, np.array(rids, "<i8"), ids, known, np.array(lengths, "<i8"), vocabulary.astype("<u8"), planes))
     return zstandard.ZstdCompressor(level=3).compress(raw), len(local), len(vocabulary)
 
 
@@ -107,7 +116,7 @@ class Block:
         n, types = (int(x) for x in np.frombuffer(raw, "<i8", 2))
         rids, ids, known, lengths = np.frombuffer(raw, "<i8", 4 * n, 16).reshape(4, n)
         at = 16 + 32 * n
-        return cls(rids, [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, np.frombuffer(raw, "<u8", types, at), np.frombuffer(raw, "<u4", -1, at + 8 * types).astype(np.int64))
+        return cls(rids, [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, np.frombuffer(raw, "<u8", types, at), np.frombuffer(raw, np.uint8, -1, at + 8 * types).reshape(4, -1).T.copy().view("<u4").reshape(-1).astype(np.int64))
 
     def contexts(self) -> np.ndarray:
         """Place in the vocabulary of the token before each; its size stands for the start."""
@@ -121,7 +130,7 @@ class Block:
         pair, where = np.unique(self.contexts() * (len(words)) + self.local, return_inverse=True)
         pairs = mixed(words[pair // len(words)] * _PAIR[0] + words[pair % len(words)] * _PAIR[1])
         bucket = np.r_[(mixed(words) % np.uint64(spans[0])).astype(np.int64), spans[0] + (mixed(pairs) % np.uint64(spans[1])).astype(np.int64)]
-        return np.r_[words, pairs], bucket, where
+        return np.r_[words, pairs >> np.uint64(64 - PAIR_BITS)], bucket, where
 
     def counts(self, where: np.ndarray, n_pairs: int, chosen: np.ndarray) -> np.ndarray:
         """Occurrences of each key in the ``chosen`` documents."""
