@@ -225,6 +225,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = confirmed(pairs, sets, percent)
         links = checkpointed(found if links is None else links.unionByName(found))
         tried = pairs if tried is None else tried.unionByName(pairs)
+    if links is None:
+        links = tried = spark.createDataFrame([], "u long, v long")
     labelled = checkpointed(_labelled(crowded, links))
     unsettled = checkpointed(_mixed_buckets(labelled))
     sizes = unsettled.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
@@ -234,129 +236,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = unsettled.join(sizes.where(F.col("n") > small_bucket).select("band"), "band", "left_semi")
     links = checkpointed(links.unionByName(confirmed(rest, sets, percent)).unionByName(_large_buckets(large, labelled, sets, percent, block)))
 
-    found = components(links)
-    return crowded.join(found.withColumnRenamed("vertex", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("comp"))
-
-
-def _mixed_buckets(labelled: DataFrame) -> DataFrame:
-    """Members of buckets in which more than one component meets."""
-    open_bands = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    return labelled.join(open_bands, "band", "left_semi")
-
-
-def _block_links(percent: int):
-    """Links of one block: guests against members, counted shingle by shingle.
-
-    Of a guest's links into a component only the strongest comes out, as one joins the two.
-    """
-
-    def run(key, table):
-        guest = np.array(table.column("guest").to_pylist(), bool)
-        cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
-        rows, cols = np.flatnonzero(guest), np.flatnonzero(~guest)
-        out = ([], [])
-        if len(rows) and len(cols):
-            size = np.array([len(x) for x in sets])
-            hashes = np.concatenate([sets[c] for c in cols])
-            owner = np.repeat(np.arange(len(cols)), size[cols])
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            for r in rows:
-                low, high = np.searchsorted(hashes, sets[r], "left"), np.searchsorted(hashes, sets[r], "right")
-                n = high - low
-                at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(cols))
-                union = size[r] + size[cols] - both
-                good = np.flatnonzero((100 * both >= percent * union) & (comp[cols] != comp[r]))
-                best: dict[int, tuple[float, int]] = {}
-                for c in good.tolist():
-                    best[int(comp[cols[c]])] = max(best.get(int(comp[cols[c]]), (0.0, 0)), (both[c] / union[c], int(cid[cols[c]])))
-                for _, other in best.values():
-                    out[0].append(min(int(cid[r]), other))
-                    out[1].append(max(int(cid[r]), other))
-        return pa.table({"u": pa.array(out[0], pa.int64()), "v": pa.array(out[1], pa.int64())})
-
-    return run
-
-
-def _large_buckets(large: DataFrame, labelled: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """All links across components within buckets too large for pairs.
-
-    A bucket's host is its largest component; its other members are the host's guests. Each
-    host's guests meet all its members and one another in blocks of at most about ``block`` a
-    side, which any number of tasks can take. Nothing but links is emitted.
-    """
-    sizes = labelled.select("cid", "comp").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    sized = large.join(sizes, "comp")
-    hosts = sized.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("h")).select("band", F.col("h.comp").alias("host"))
-    guests = checkpointed(sized.join(hosts, "band").where("comp <> host").select("host", "cid", "comp").distinct())
-    own = labelled.select("cid", "comp").distinct().join(hosts.select(F.col("host").alias("comp")).distinct(), "comp", "left_semi")
-    members = own.select(F.col("comp").alias("host"), "cid", "comp").unionByName(guests)
-    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
-    counts = members.groupBy("host").agg(F.count(F.lit(1)).alias("m")).join(guests.groupBy("host").agg(F.count(F.lit(1)).alias("g")), "host").select("host", cut("m").alias("mc"), cut("g").alias("gc"))
-    place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.join(counts, "host").select("host", place("mc").alias("i"), every("gc").alias("j"), "cid", "comp", F.lit(False).alias("guest"))
-    right = guests.join(counts, "host").select("host", every("mc").alias("i"), place("gc").alias("j"), "cid", "comp", F.lit(True).alias("guest"))
-    placed = left.unionByName(right).join(sets, "cid")
-    return placed.groupBy("host", "i", "j").applyInArrow(_block_links(percent), "u long, v long").distinct()
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bands: int = BANDS, band_rows: int = BAND_ROWS, pivot_rounds: int = PIVOT_ROUNDS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
-    """Link texts whose sets of ``words``-word shingles have a Jaccard similarity of
-    ``percent`` / 100 or more, and return the connected components.
-
-    Texts with the same set are one class from the start, whatever their number. Classes are
-    sketched and banded; in each bucket of more than one class, members are first compared
-    with one pivot (a member that all draw by the same hash), each member only with the pivot
-    with which it shares most buckets. Links join components, and the next round draws other
-    pivots. What then still meets across different components is compared in full: pair by
-    pair in small buckets; in large ones the members outside the largest component against
-    all others, in blocks that emit links only. So the bulk of a group of near copies costs a
-    few comparisons a member, and no pair that could join two components is left out. All
-    links are confirmed on full sets.
-
-    Returns ``rid, doc_id, n_shingles, component_id, kept, keep_rid``, one row per input row:
-    ``component_id`` is the smallest id reachable, ``kept`` says that it is the row's own,
-    ``keep_rid`` the row that represents the component (of repeated ids, the one read first).
-    A null or empty text, or one of blanks, has no shingles and is linked with nothing. A null
-    id is larger than any other; a component without any id has a null ``component_id``, and
-    there ``kept`` is true for its representative only. Repeated rows are in one component.
-    An empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = numbered(docs, id_col, text_col)
-    table = checkpointed(rows.mapInArrow(_sketched(words, bands, band_rows), "rid long, doc_id long, n_shingles long, set_key binary, bands array<long>"))
-    filled = table.where("n_shingles > 0")
-    classes = checkpointed(filled.groupBy("set_key").agg(F.min("rid").alias("cid")))
-    banded = filled.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    crowded = checkpointed(banded.join(full, "band", "left_semi"))
-    members = checkpointed(crowded.select("cid").distinct())
-    texts = routed(rows.select("rid", "body"), "rid", members.select(F.col("cid").alias("rid")), ROUTE_BITS)
-    sets = checkpointed(texts.mapInArrow(_shingled(words), "cid long, shingles binary"))
-
-    links, tried = None, None
-    for turn in range(pivot_rounds):
-        unsettled = checkpointed(_mixed_buckets(_labelled(crowded, links)))
-        draw = F.struct(F.xxhash64("cid", F.lit(turn)).alias("d"), F.col("cid").alias("p"), F.col("comp").alias("pc"))
-        pivots = unsettled.groupBy("band").agg(F.min(draw).alias("pivot")).select("band", "pivot.p", "pivot.pc")
-        met = unsettled.join(pivots, "band").where("comp <> pc").groupBy("cid", "p").agg(F.count(F.lit(1)).alias("n"))
-        best = met.groupBy("cid").agg(F.max(F.struct("n", "p")).alias("b"))
-        pairs = best.select(F.least("cid", "b.p").alias("u"), F.greatest("cid", "b.p").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = confirmed(pairs, sets, percent)
-        links = checkpointed(found if links is None else links.unionByName(found))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    unsettled = checkpointed(_mixed_buckets(_labelled(crowded, links)))
-    other = unsettled.select("band", F.col("cid").alias("v"), F.col("comp").alias("other"))
-    rest = unsettled.withColumnRenamed("cid", "u").join(other, "band").where("u < v and comp <> other").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-    links = checkpointed(links.unionByName(confirmed(rest, sets, percent)))
-
     found = components(links).select(F.col("vertex").alias("cid"), "component")
     joined = classes.join(found, "cid", "left").select("set_key", F.coalesce("component", "cid").alias("component"))
     placed = table.select("rid", "doc_id", "n_shingles", "set_key").join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "rid"))
