@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +34,48 @@ def confident(boxes: DataFrame, threshold: float = SCORE) -> DataFrame:
     return boxes.where(F.col("score") >= threshold)
 
 
+def _suppressed(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, overlap: float) -> np.ndarray:
+    """Places kept of boxes in order of falling score."""
+    area = (x2 - x1 + 1) * (y2 - y1 + 1)
+    alive, kept = np.ones(len(x1), bool), []
+    for i in range(len(x1)):
+        if alive[i]:
+            kept.append(i)
+            w = np.clip(np.minimum(x2[i], x2) - np.maximum(x1[i], x1) + 1, 0, None)
+            h = np.clip(np.minimum(y2[i], y2) - np.maximum(y1[i], y1) + 1, 0, None)
+            alive &= w * h / (area[i] + area - w * h) <= overlap
+    return np.array(kept, np.int64)
+
+
 def suppress(boxes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """Greedy non-maximum suppression in each image: a box goes if it overlaps a better kept
-    one by more than ``overlap``. Pixel-inclusive areas. An image's boxes are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")
-        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        area = (x2 - x1 + 1) * (y2 - y1 + 1)
-        alive, kept = np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if alive[i]:
-                kept.append(i)
-                w = np.clip(np.minimum(x2[i], x2) - np.maximum(x1[i], x1) + 1, 0, None)
-                h = np.clip(np.minimum(y2[i], y2) - np.maximum(y1[i], y1) + 1, 0, None)
-                alive &= w * h / (area[i] + area - w * h) <= overlap
-        return pdf.iloc[kept]
-
-    return boxes.groupBy("image").applyInPandas(run, boxes.schema)
+    one by more than ``overlap``. Pixel-inclusive areas; equal scores in order of corners.
+
+    Images are hashed to partitions and sorted there; a task walks through its images batch
+    by batch and holds one image's boxes at a time.
+    """
+    order = [F.asc("image"), F.desc("score"), *(F.asc(c) for c in ("x1", "y1", "x2", "y2"))]
+    ranged = boxes.repartition("image").sortWithinPartitions(*order)
+
+    def walk(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            image = table.column("image").to_numpy()
+            starts = np.flatnonzero(np.r_[True, image[1:] != image[:-1]]) if len(image) else np.zeros(0, np.int64)
+            if len(starts):
+                done, held = table.slice(0, starts[-1]), table.slice(starts[-1])
+                yield from cut(done, starts)
+        if held is not None:
+            yield from cut(held, np.array([0, held.num_rows]))
+
+    def cut(table, edges):
+        if table.num_rows:
+            corners = [table.column(c).to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")]
+            keep = [a + _suppressed(*(c[a:b] for c in corners), overlap) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield from table.take(pa.array(np.concatenate(keep))).combine_chunks().to_batches()
+
+    return ranged.mapInArrow(walk, boxes.schema)
 
 
 def prominent(boxes: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
