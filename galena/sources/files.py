@@ -64,7 +64,7 @@ def npy_gallery(spark: SparkSession, folder: str, tags: tuple[str, ...]) -> Data
             x, y = np.load(vectors, mmap_mode="r"), np.load(labels)
             if len(x) != len(y):
                 raise ValueError("as many labels as embeddings are needed")
-            frame = pd.DataFrame({"id": np.arange(len(x)), "label": y.astype(str), "embedding": list(np.asarray(x, np.float32))})
+            frame = pd.DataFrame({"id": np.arange(len(x)), "label": y.astype(str), "embedding": [r.tolist() for r in np.asarray(x, np.float32)]})
             return spark.createDataFrame(frame, "id long, label string, embedding array<float>")
     raise FileNotFoundError(f"no embeddings of {', '.join(tags)} in {folder}")
 

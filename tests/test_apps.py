@@ -1,6 +1,7 @@
 """Applications, evaluation and streams against plain Python."""
 
 import datetime as dt
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def test_identify_stream(spark, tmp_path):
 
 def test_organise_is_greedy_in_path_order(spark):
     c, s = np.cos(0.9), np.sin(0.9)
-    rows = [(0, "b.jpg", [1.0, 0.0]), (1, "a.jpg", [c, s]), (2, "c.jpg", [np.cos(0.45), np.sin(0.45)]), (3, "d.jpg", [-1.0, 0.0])]
+    rows = [(0, "b.jpg", [1.0, 0.0]), (1, "a.jpg", [float(c), float(s)]), (2, "c.jpg", [math.cos(0.45), math.sin(0.45)]), (3, "d.jpg", [-1.0, 0.0])]
     got = apps.organise_by_person(spark.createDataFrame(rows, "id long, path string, embedding array<double>"), 0.8)
     assert {r["id"]: r["person"] for r in got.collect()} == {1: "Person_001", 0: "Person_002", 2: "Person_001", 3: "Person_003"}
 
