@@ -78,4 +78,19 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+          FROM documents),
+        s AS (
+          SELECT DISTINCT r, CASE WHEN len(l) >= 5 THEN array_to_string(l[p:p + 4], ' ') ELSE array_to_string(l, ' ') END AS g
+          FROM w, unnest(range(1, CASE WHEN len(l) >= 5 THEN len(l) - 3 WHEN len(l) > 0 THEN 2 ELSE 1 END)) u(p)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+        link AS (SELECT x, y FROM both_ JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT r, r AS o FROM w UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.o),
+        c AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.o GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c USING (r) LEFT JOIN n USING (r)
+    """,
 }
