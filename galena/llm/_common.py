@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -73,18 +72,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(low) if _OTHER_SPACE.search(low) else low.split()
 
 
-def chunked(items: list, size: int) -> Iterable[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]
+#: Row numbers hold a partition in the bits from here up and a count below; both must tell in
+#: a bitmap's bits.
+_PARTITION_SHIFT, _SPREAD = 33, 100_003
 
 
 def id_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits with the low bits of every ``column`` value set.
+    """A bitmap of ``bits`` bits (a power of two) with one bit set for every ``column`` value.
 
     Its size is fixed, however many keys there are; the driver receives ``bits`` / 8 small
     rows at most.
     """
-    at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    spread = F.col(column).bitwiseXOR(F.shiftright(column, _PARTITION_SHIFT) * _SPREAD)
+    at = keys.select(spread.bitwiseAND(F.lit(bits - 1)).alias("bit"))
     words = at.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("byte"))
     bitmap = np.zeros(bits // 8, np.uint8)
     found = words.toArrow()
@@ -93,20 +93,21 @@ def id_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return bitmap
 
 
-def in_bitmap(batch: pa.RecordBatch, column: str, bitmap: np.ndarray) -> pa.RecordBatch:
-    """Rows whose ``column`` may be among the bitmap's keys. A filter that saves shuffling
-    only: an exact join follows."""
-    at = batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64) & (8 * len(bitmap) - 1)
-    return batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which of ``values`` may be among the bitmap's keys."""
+    values = values.astype(np.int64)
+    at = (values ^ ((values >> _PARTITION_SHIFT) * _SPREAD)) & (8 * len(bitmap) - 1)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def routed(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFrame:
-    """``rows`` semi-joined with ``keys`` on ``column``; a bitmap goes ahead of the shuffle."""
+    """``rows`` semi-joined with ``keys`` on ``column``. A bitmap goes ahead and saves
+    shuffling; the exact join follows."""
     bitmap = id_bitmap(keys, column, bits)
 
     def run(batches):
         for batch in batches:
-            yield in_bitmap(batch, column, bitmap)
+            yield batch.filter(pa.array(in_bitmap(batch.column(column).to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).join(keys.select(column), column, "left_semi")
 

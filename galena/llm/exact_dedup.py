@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed, numbered, small_batches
+from galena.llm._common import checkpointed, numbered, routed, small_batches
 
 #: Fingerprints that one merged filter holds on average; sets how many ranges there are.
 FILTER_ROWS = 1 << 20
@@ -126,15 +126,6 @@ def repeated_fingerprints(narrow: DataFrame, rows: int, filter_rows: int = FILTE
     return filters.groupBy("range").applyInArrow(merge, "fp long, n long")
 
 
-def _route(bitmap: np.ndarray, bits: int):
-    def run(batches):
-        for batch in batches:
-            at = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64) & (bits - 1)
-            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
-
-    return run
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_rows: int = FILTER_ROWS, route_bits: int = ROUTE_BITS) -> DataFrame:
     """Group rows with identical texts; the row with the largest id of a group stays.
 
@@ -156,12 +147,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = checkpointed(rows.select("rid", "doc_id", "fp", F.sha2("body", 256).alias("text_sha256")))
     total = narrow.count()
     repeated = checkpointed(repeated_fingerprints(narrow, total, filter_rows))
-    words = repeated.select(F.col("fp").bitwiseAND(F.lit(route_bits - 1)).alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("byte"))
-    bitmap = np.zeros(route_bits // 8, np.uint8)
-    if found := words.toArrow():
-        bitmap[found.column("at").to_numpy()] = found.column("byte").to_numpy().astype(np.uint8)
-    routed = rows.select("fp", "body").mapInArrow(_route(bitmap, route_bits), "fp long, body string").join(repeated.select("fp"), "fp", "left_semi")
-    verified = routed.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("fp", F.sha2("body", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    doubtful = routed(rows.select("fp", "body"), "fp", repeated, route_bits)
+    verified = doubtful.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("fp", F.sha2("body", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     largest = F.max(F.struct("doc_id", "rid"))
     groups = narrow.join(repeated.select("fp"), "fp", "left_semi").groupBy("fp", "text_sha256").agg(largest.alias("top"), F.count(F.lit(1)).alias("size"))
     checked = groups.join(verified, ["fp", "text_sha256"], "left").select(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed, id_bitmap, small_batches
+from galena.llm._common import checkpointed, id_bitmap, in_bitmap, small_batches
 
 BITMAP_BITS = 1 << 23
 
@@ -28,8 +27,7 @@ def without(docs: DataFrame, dropped: DataFrame, bits: int = BITMAP_BITS) -> Dat
 
     @F.pandas_udf("boolean")
     def listed(rid: pd.Series) -> pd.Series:
-        at = rid.to_numpy() & (bits - 1)
-        return pd.Series((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+        return pd.Series(in_bitmap(rid.to_numpy(), bitmap))
 
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     rows = rows.withColumn(f"{name}_listed", listed(name))
