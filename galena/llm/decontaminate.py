@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import chunked, numbered, small_batches
+from galena.llm._common import checkpointed, id_bitmap, in_bitmap, numbered, small_batches
 from galena.llm._shingles import _hashes, grams
 
 #: Words of a seed, and neighbouring seeds of which the rarest is used. A run of
@@ -25,6 +25,8 @@ LEAST_SHARE = 0.5
 LEAST_SCORE = 6.0
 #: Words of test items that one pass over the documents carries; more items, more passes.
 PASS_WORDS = 1 << 21
+#: Bits of the map of documents with any gram of an item; the second pass skips the others.
+TOUCHED_BITS = 1 << 23
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -152,7 +154,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A first pass counts in how many documents each gram of the items occurs (partitions send
     totals only). Of each few successive grams of an item the rarest becomes a seed, so an
     item that a third of all rows copy still has seeds. A second pass looks the seeds up in
-    every whole text and aligns item and passage word by word where one hits. Each pass
+    every whole text that had any gram, and aligns item and passage word by word where one
+    hits. Each pass
     carries at most ``pass_words`` words of test items, with further items in further
     passes, and shuffles nothing.
 
@@ -185,20 +188,28 @@ def _one_pass(rows: DataFrame, every: Seeds, share: float, schema: str) -> DataF
     def count(batches):
         n = np.zeros(len(every.grams), np.int64)
         for batch in batches:
-            for text in batch.column("body"):
-                for _, found in every.hits(tokens(text.as_py())):
+            touched = []
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("body"), strict=True):
+                own = every.hits(tokens(text.as_py()))
+                for _, found in own:
                     n[np.unique(found)] += 1
+                if any(len(found) for _, found in own):
+                    touched.append(rid)
+            yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(touched), pa.int64()), "n": pa.nulls(len(touched), pa.int64()), "rid": pa.array(touched, pa.int64())})
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64()), "rid": pa.nulls(len(at), pa.int64())})
 
-    frequency = np.zeros(len(every.grams), np.int64)
+    frequency, bitmap = np.zeros(len(every.grams), np.int64), np.zeros(TOUCHED_BITS // 8, np.uint8)
     if len(frequency):
-        counted = rows.select("body").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        first = checkpointed(rows.select("rid", "body").mapInArrow(count, "gram long, n long, rid long"))
+        counted = first.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         frequency[counted.column("gram").to_numpy()] = counted.column("n").to_numpy()
+        bitmap = id_bitmap(first.where("rid is not null"), "rid", TOUCHED_BITS)
     seeds = rarest(every, frequency)
 
     def align(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(batch.column("rid").to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
             found = []
             for rid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "body")), strict=True):
                 found += [(rid, doc_id, seeds.items[n][0], score, a, b) for n, score, a, b in leaks(tokens(text), seeds, share)]
