@@ -150,7 +150,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doubtful = routed(rows.select("fp", "body"), "fp", repeated, route_bits)
     verified = doubtful.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("fp", F.sha2("body", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     largest = F.max(F.struct("doc_id", "rid"))
-    groups = narrow.join(repeated.select("fp"), "fp", "left_semi").groupBy("fp", "text_sha256").agg(largest.alias("top"), F.count(F.lit(1)).alias("size"))
+    # Combined before they meet: a hot group is one row a partition here.
+    groups = narrow.groupBy("fp", "text_sha256").agg(largest.alias("top"), F.count(F.lit(1)).alias("size")).join(repeated.select("fp"), "fp", "left_semi")
     checked = groups.join(verified, ["fp", "text_sha256"], "left").select(
         "fp",
         "text_sha256",
@@ -158,6 +159,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("top.rid").alias("top_rid"),
         F.when((F.col("texts") == 1) & (F.col("n") == F.col("size")), F.col("size")).otherwise(F.raise_error(F.lit("texts with equal digests differ"))).alias("size"),
     )
+    checked = checkpointed(checked)  # as an input of its own, its join can split a hot key
     single = F.col("size").isNull()
     return narrow.join(checked, ["fp", "text_sha256"], "left").select(
         "rid",
