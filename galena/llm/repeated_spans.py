@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
     small_batches(spark)
     rows = numbered(docs, id_col, text_col)
     narrow = checkpointed(rows.select("rid", "doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha")))
-    copies = narrow.where(F.col("n_bytes") >= width).groupBy("sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"))
+    copies = checkpointed(narrow.where(F.col("n_bytes") >= width).groupBy("sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies")))
 
     def first_digit(batches):
         for batch in batches:
