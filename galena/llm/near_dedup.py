@@ -242,6 +242,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("at")))
     placed = checkpointed(placed.select("rid", "doc_id", "n_shingles", "component"))
     heads = placed.groupBy("component").agg(first.alias("head")).select("component", F.col("head.id").alias("component_id"), F.col("head.at").alias("keep_rid"))
+    heads = checkpointed(heads)  # as an input of its own, its join can split a hot key
     return placed.join(heads, "component").select(
         "rid", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("rid") == F.col("keep_rid")).alias("kept"), "keep_rid"
     )
