@@ -17,7 +17,7 @@ from galena.llm._exchange import PACKETS, answered, buckets_for, packets, tallie
 from galena.llm._shingles import word_hashes
 
 #: Tokens of one block of documents.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 #: Bits of a pair's key within its bucket of about a million. About one pair in a million
 #: shares a key with another, at any size of the corpus; single words keep 64 bits.
 PAIR_BITS = 40
