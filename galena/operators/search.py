@@ -33,7 +33,7 @@ def ranked(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", at).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[pa.Table]:
+def query_blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[pa.Table]:
     """Queries in blocks of bounded size, one block on the driver at a time."""
     rows = queries.select("query_id", *columns)
     if rows.limit(block + 1).count() <= block:
@@ -86,7 +86,7 @@ def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, query_block: int
     if k < 1:
         raise ValueError("k must be at least 1")
     out = None
-    for table in _query_blocks(queries, ["embedding"], query_block):
+    for table in query_blocks(queries, ["embedding"], query_block):
         wanted = vectors_of(table.column("embedding")).astype(np.float64)
 
         def distances(batch, wanted=wanted):
@@ -106,7 +106,7 @@ def hamming_topk(queries: DataFrame, gallery: DataFrame, words: list[str], k: in
     if k < 1:
         return gallery.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).cast("long").alias("hamming")).limit(0)
     out = None
-    for table in _query_blocks(queries, words, query_block):
+    for table in query_blocks(queries, words, query_block):
         wanted = np.stack([table.column(w).to_numpy() for w in words], 1)
 
         def distances(batch, wanted=wanted):
