@@ -8,7 +8,7 @@ import xxhash
 from galena.llm._common import mixed, words_of
 
 #: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 400_000
 
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -25,7 +25,7 @@ BLOCK_IDS = 1 << 16
 #: Bytes of text that one output file gets on average.
 FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 800_000
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

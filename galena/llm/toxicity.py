@@ -28,7 +28,7 @@ SUPPORT, LIFT = 4, 20
 REPEATS = 4
 LEVEL = 19
 #: Windows whose lengths a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
