@@ -1,22 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: words in common as seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed, id_bitmap, in_bitmap, numbered, small_batches
-from galena.llm._shingles import _hashes, grams
+from galena.llm._common import numbered, small_batches
+from galena.llm._shingles import _hashes
 
-#: Words of a seed, and neighbouring seeds of which the rarest is used. A run of
-#: SEED_WORDS + NEIGHBOURS - 1 unchanged words always holds a used seed.
-SEED_WORDS, NEIGHBOURS = 3, 3
 #: Alignment scores: a word that matches, one that is replaced, one that is left out or added.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least score as a share of the item's own (all words matching).
@@ -25,8 +22,8 @@ LEAST_SHARE = 0.5
 LEAST_SCORE = 6.0
 #: Words of test items that one pass over the documents carries; more items, more passes.
 PASS_WORDS = 1 << 21
-#: Bits of the map of documents with any gram of an item; the second pass skips the others.
-TOUCHED_BITS = 1 << 23
+#: Words of a text that are looked up at once, at least.
+CHUNK_WORDS = 1024
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -37,61 +34,69 @@ def tokens(text: str) -> np.ndarray:
 
 
 @dataclass
-class Seeds:
-    """Item words and the seed grams that lead to them."""
+class Items:
+    """Words of the test items, and for each distinct word the items that have it."""
 
     items: list[tuple[int, np.ndarray]]
-    grams: np.ndarray
-    places: list[list[tuple[int, int]]]
-    sizes: list[int]
-    marks: np.ndarray | None = None
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """For each gram size, the places in ``words`` and the numbers of grams found there."""
-        if self.marks is None:
-            self.marks = np.zeros(1 << 20, bool)
-            self.marks[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        out = []
-        for size in self.sizes:
-            own = grams(words, size)
-            at = np.flatnonzero(self.marks[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(at):
-                found = np.searchsorted(self.grams, own[at])
-                found[found == len(self.grams)] = 0
-                same = self.grams[found] == own[at]
-                out.append((at[same], found[same]))
-        return out
-
-
-def all_seeds(items: list[tuple[int, str]], seed_words: int = SEED_WORDS) -> Seeds:
-    """Every gram of every item. An item of fewer words has one gram, its whole sequence."""
-    kept = [(i, w) for i, t in items if len(w := tokens(t or ""))]
-    by_gram = defaultdict(list)
-    sizes = set()
-    for number, (_, words) in enumerate(kept):
-        size = min(seed_words, len(words))
-        sizes.add(size)
-        for at, g in enumerate(grams(words, size).tolist()):
-            by_gram[g].append((number, at))
-    order = sorted(by_gram)
-    return Seeds(kept, np.array(order, np.uint64), [by_gram[g] for g in order], sorted(sizes))
-
-
-def rarest(seeds: Seeds, frequency: np.ndarray, neighbours: int = NEIGHBOURS) -> Seeds:
-    """Keep, of each ``neighbours`` successive grams of an item, the one in fewest documents
-    (the first of equals)."""
-    in_item = defaultdict(dict)
-    for gram, places in enumerate(seeds.places):
-        for number, at in places:
-            in_item[number][at] = gram
-    used = defaultdict(list)
-    for number, own in in_item.items():
-        n = len(own)
-        best = {min(range(a, min(a + neighbours, n)), key=lambda k: (frequency[own[k]], k)) for a in range(max(1, n - neighbours + 1))}
-        for at in sorted(best):
-            used[own[at]].append((number, at))
-    order = sorted(used)
-    return Seeds(seeds.items, seeds.grams[order], [used[g] for g in order], seeds.sizes)
+    share: float = LEAST_SHARE
+    least: float = LEAST_SCORE
+    sizes: np.ndarray = field(init=False)
+    need: np.ndarray = field(init=False)
+    reach: np.ndarray = field(init=False)
+    vocabulary: np.ndarray = field(init=False)
+    starts: np.ndarray = field(init=False)
+    owners: np.ndarray = field(init=False)
+    repeats: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
+        self.need = np.minimum(np.maximum(self.share * self.sizes, self.least), self.sizes)
+        # Matched and replaced words are the item's own, and what the score has above the
+        # least one pays for added words: an alignment that reaches it spans no more.
+        self.reach = self.sizes + np.floor((self.sizes * MATCH - self.need) / -GAP).astype(np.int64)
+        words = np.concatenate([w for _, w in self.items]) if self.items else np.zeros(0, np.uint64)
+        self.vocabulary, word = np.unique(words, return_inverse=True)
+        pair, self.repeats = np.unique(word * max(1, len(self.items)) + np.repeat(np.arange(len(self.items)), self.sizes), return_counts=True)
+        self.owners = pair % max(1, len(self.items))
+        self.starts = np.searchsorted(pair, np.arange(len(self.vocabulary) + 1) * max(1, len(self.items)))
+
+    def owned(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``owners`` of all the items that have each word, and the words' places."""
+        n = self.starts[word + 1] - self.starts[word]
+        at = np.repeat(np.arange(len(word)), n)
+        return np.arange(len(at)) + np.repeat(self.starts[word] - np.cumsum(n) + n, n), at
+
+    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item numbers and places in ``words`` at which an alignment that reaches the least
+        score may end; no other place can be such an end.
+
+        An alignment scores at most its item's words that occur here at all, and at most what
+        the passage would score if each word that the item has anywhere were a match and
+        each other word a gap.
+        """
+        word = np.searchsorted(self.vocabulary, words)
+        word[word == len(self.vocabulary)] = 0
+        place = np.flatnonzero(self.vocabulary[word] == words)
+        distinct, word = np.unique(word[place], return_inverse=True)
+        at, _ = self.owned(distinct)
+        possible = np.bincount(self.owners[at], self.repeats[at], len(self.items)) >= self.need
+        if not possible.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, row = self.owned(distinct[word])
+        kept = np.flatnonzero(possible[self.owners[at]])
+        number, place = self.owners[at[kept]], place[row[kept]]
+        order = np.argsort(number, kind="stable")
+        number, place = number[order], place[order]
+        # The best sum of a run of words that ends at a hit, within each item's hits.
+        level = (MATCH - GAP) * np.arange(len(place)) + GAP * place
+        apart = np.cumsum(np.r_[0, number[1:] != number[:-1]]) * (4.0 * (len(place) + len(words)))
+        bound = level - (np.minimum.accumulate(level - apart) + apart) + MATCH
+        ends = bound >= self.need[number]
+        return number[ends], place[ends]
+
+
+def with_words(items: list[tuple[int, str]], share: float = LEAST_SHARE) -> Items:
+    return Items([(i, w) for i, t in items if len(w := tokens(t or ""))], share)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
@@ -118,32 +123,32 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best
 
 
-def leaks(words: np.ndarray, seeds: Seeds, share: float = LEAST_SHARE, least: float = LEAST_SCORE) -> list[tuple[int, float, int, int]]:
+def leaks(words: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
     """``(item number, share, start, end)`` of the best alignment of each item found."""
-    near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at, found in seeds.hits(words):
-        for p, gram in zip(at.tolist(), found.tolist(), strict=True):
-            for number, q in seeds.places[gram]:
-                size = len(seeds.items[number][1])
-                slack = size // 3 + 4
-                near[number].append((max(0, p - q - slack), min(len(words), p - q + size + slack)))
+    if not len(items.items):
+        return []
+    longest = int(items.reach.max())
+    chunk = max(CHUNK_WORDS, 2 * longest)
+    spans: dict[int, list[list[int]]] = defaultdict(list)
+    # Chunks overlap by the longest alignment, so that each lies in one of them as a whole.
+    for first in range(0, max(1, len(words) - longest), chunk - longest):
+        numbers, ends = items.near(words[first : first + chunk])
+        for number, end in zip(numbers.tolist(), (ends + (first + 1)).tolist(), strict=True):
+            merged = spans[number]
+            begin = max(0, end - int(items.reach[number]))
+            if merged and begin <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([begin, end])
     out = []
-    for number, spans in near.items():
-        item = seeds.items[number][1]
-        need = min(max(share * len(item), least), float(len(item)))
+    for number, merged in spans.items():
+        item = items.items[number][1]
         best = (0.0, 0, 0)
-        spans.sort()
-        merged = [list(spans[0])]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
         for a, b in merged:
             score, start, end = smith_waterman(item, words[a:b])
             if score > best[0]:
                 best = (score, a + start, a + end)
-        if best[0] >= need:
+        if best[0] >= items.need[number]:
             out.append((number, best[0] / len(item), best[1], best[2]))
     return sorted(out)
 
@@ -151,13 +156,11 @@ def leaks(words: np.ndarray, seeds: Seeds, share: float = LEAST_SHARE, least: fl
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = LEAST_SHARE, pass_words: int = PASS_WORDS) -> DataFrame:
     """Documents that hold a test item or an edited copy of one.
 
-    A first pass counts in how many documents each gram of the items occurs (partitions send
-    totals only). Of each few successive grams of an item the rarest becomes a seed, so an
-    item that a third of all rows copy still has seeds. A second pass looks the seeds up in
-    every whole text that had any gram, and aligns item and passage word by word where one
-    hits. Each pass
-    carries at most ``pass_words`` words of test items, with further items in further
-    passes, and shuffles nothing.
+    Every word of an item is a seed. Where the words that a text and an item have in common
+    could add up to the least score, they are aligned word by word; this bound leaves out no
+    pair that reaches it, however the copy is edited and however many copies there are.
+    Each pass over the whole texts carries at most ``pass_words`` words of test items, with
+    further items in further passes, and shuffles nothing.
 
     Returns ``rid, doc_id, item_id, score, start, end``, one row per document and item found:
     ``score`` is the alignment's share of the item's own, ``start`` and ``end`` word offsets.
@@ -179,40 +182,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         size += len(item[1])
     out = None
     for part in parts:
-        found = _one_pass(rows, all_seeds(part), share, schema)
+        found = _one_pass(rows, with_words(part, share), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _one_pass(rows: DataFrame, every: Seeds, share: float, schema: str) -> DataFrame:
-    def count(batches):
-        n = np.zeros(len(every.grams), np.int64)
-        for batch in batches:
-            touched = []
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("body"), strict=True):
-                own = every.hits(tokens(text.as_py()))
-                for _, found in own:
-                    n[np.unique(found)] += 1
-                if any(len(found) for _, found in own):
-                    touched.append(rid)
-            yield pa.RecordBatch.from_pydict({"gram": pa.nulls(len(touched), pa.int64()), "n": pa.nulls(len(touched), pa.int64()), "rid": pa.array(touched, pa.int64())})
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64()), "rid": pa.nulls(len(at), pa.int64())})
-
-    frequency, bitmap = np.zeros(len(every.grams), np.int64), np.zeros(TOUCHED_BITS // 8, np.uint8)
-    if len(frequency):
-        first = checkpointed(rows.select("rid", "body").mapInArrow(count, "gram long, n long, rid long"))
-        counted = first.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        frequency[counted.column("gram").to_numpy()] = counted.column("n").to_numpy()
-        bitmap = id_bitmap(first.where("rid is not null"), "rid", TOUCHED_BITS)
-    seeds = rarest(every, frequency)
-
+def _one_pass(rows: DataFrame, items: Items, schema: str) -> DataFrame:
     def align(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(batch.column("rid").to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
             found = []
             for rid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "body")), strict=True):
-                found += [(rid, doc_id, seeds.items[n][0], score, a, b) for n, score, a, b in leaks(tokens(text), seeds, share)]
+                found += [(rid, doc_id, items.items[n][0], score, a, b) for n, score, a, b in leaks(tokens(text), items)]
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rid", "doc_id", "item_id", "score", "start", "end"])

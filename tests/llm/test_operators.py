@@ -283,6 +283,24 @@ def test_decontamination(spark, tmp_path):
     assert decontaminate(spark.read.parquet(str(tmp_path / "d")), bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("copies", [0, 3])
+def test_decontamination_of_copies_edited_throughout(spark, tmp_path, copies):
+    """Unchanged runs of two to four words, with exact copies and broken parts elsewhere."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    item = [word() for _ in range(40)]
+    filler = [word() for _ in range(3000)]
+    docs = {n: filler[:30] + [word() if k % n == n - 1 else w for k, w in enumerate(item)] + filler[:30] for n in (3, 4, 5)}
+    docs[6] = filler[:1500] + [x for k, w in enumerate(item) for x in ([w, word()] if k % 2 else [w])] + filler[1500:]
+    docs[7] = filler + item[:15]
+    docs |= {100 * (k + 1) + n: item if n == 9 else docs[n] for k in range(copies) for n in (5, 9)}
+    spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate(spark.read.parquet(str(tmp_path / "d")), bench).collect()}
+    assert set(got) == set(docs) - {7}
+    assert got == {i: smith_waterman(tokens(" ".join(item)), tokens(" ".join(docs[i])))[0] / 40 for i in got}
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     rng = np.random.default_rng(4)
     for _ in range(20):
