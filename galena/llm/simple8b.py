@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,6 +28,10 @@ FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers; beyond that it starts anew.
 REMEMBERED_WORDS = 800_000
 
+#: White space to str.split() that the tokenizer's own pattern counts as part of a word.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"(?:\S|[{_CONTROLS}])+")
+
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words and escaped values of ``values`` (unsigned 64-bit)."""
@@ -119,7 +124,7 @@ class WordIds(dict):
     """Ids of white-space separated words, as bytes, by the tokenizers library.
 
     The vocabulary's tokenizer drops white space and merges within words only, so a text's
-    ids are those of its words in turn.
+    ids are those of its words in turn. U+001C to U+001F are no white space to it.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -143,7 +148,8 @@ class WordIds(dict):
         return raw
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        words = _WORD.findall(text) if any(c in text for c in _CONTROLS) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -128,6 +128,16 @@ def test_token_files(odd_docs, tmp_path):
     assert want == collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got)
 
 
+@pytest.mark.parametrize("char", [*"\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000\u200b\ufeff"])
+def test_word_ids_are_those_of_the_whole_text(char):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_FILE)
+    for text in (f"a{char}b", f"One {char} two,{char}{char}three. {char}", f"{char}don't{char}.", char):
+        ids = np.frombuffer(s8.word_ids(WORD_FILE).encode(text), "<u4")
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_shards(odd_docs, odd_rows):
     got = shard_by_splitters(odd_docs, shards=3).collect()
     for shard in range(3):
