@@ -131,7 +131,6 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:

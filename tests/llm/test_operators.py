@@ -138,6 +138,14 @@ def test_word_ids_are_those_of_the_whole_text(char):
         assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "x<|startoftext|>y.", "<|endoftext|>,", "X <|ENDOFTEXT|>\x1c<|endoftext|>"])
+def test_word_ids_of_special_tokens_are_the_librarys(text):
+    from tokenizers import Tokenizer
+
+    ids = np.frombuffer(s8.word_ids(WORD_FILE).encode(text), "<u4")
+    assert ids.tolist() == Tokenizer.from_file(WORD_FILE).encode(text, add_special_tokens=False).ids
+
+
 def test_shards(odd_docs, odd_rows):
     got = shard_by_splitters(odd_docs, shards=3).collect()
     for shard in range(3):
