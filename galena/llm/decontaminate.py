@@ -20,6 +20,8 @@ MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SHARE = 0.5
 #: Least matching score of any alignment, so that short items need nearly all their words.
 LEAST_SCORE = 6.0
+#: Score that is enough whatever the item's length, so that an excerpt of a long item counts.
+EXCERPT_SCORE = 13.0
 #: Words of test items that one pass over the documents carries; more items, more passes.
 PASS_WORDS = 1 << 21
 #: Words of a text that are looked up at once, at least.
@@ -50,7 +52,7 @@ class Items:
 
     def __post_init__(self):
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
-        self.need = np.minimum(np.maximum(self.share * self.sizes, self.least), self.sizes)
+        self.need = np.minimum(np.maximum(self.share * self.sizes, self.least), np.minimum(self.sizes, EXCERPT_SCORE))
         # Matched and replaced words are the item's own, and what the score has above the
         # least one pays for added words: an alignment that reaches it spans no more.
         self.reach = self.sizes + np.floor((self.sizes * MATCH - self.need) / -GAP).astype(np.int64)
@@ -154,7 +156,7 @@ def leaks(words: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = LEAST_SHARE, pass_words: int = PASS_WORDS) -> DataFrame:
-    """Documents that hold a test item or an edited copy of one.
+    """Documents that hold a test item, an edited copy of one or an excerpt of 13 words in net.
 
     Every word of an item is a seed. Where the words that a text and an item have in common
     could add up to the least score, they are aligned word by word; this bound leaves out no

@@ -15,7 +15,7 @@ from galena.llm import secret_scan as ss
 from galena.llm import simple8b as s8
 from galena.llm._exchange import pack_sorted, squeeze, unpack_sorted, unsqueeze
 from galena.llm.bpe import bpe_round_trip, encode, encoding, safe_pieces
-from galena.llm.decontaminate import decontaminate, smith_waterman, tokens
+from galena.llm.decontaminate import Items, decontaminate, leaks, smith_waterman, tokens
 from galena.llm.interpolation import interpolated_scores
 from galena.llm.near_dedup import near_dedup, sketch
 from galena.llm.queries import RANK_FILE, WORD_FILE
@@ -310,7 +310,7 @@ def test_decontamination_of_copies_edited_throughout(spark, tmp_path, copies):
     filler = [word() for _ in range(3000)]
     docs = {n: filler[:30] + [word() if k % n == n - 1 else w for k, w in enumerate(item)] + filler[:30] for n in (3, 4, 5)}
     docs[6] = filler[:1500] + [x for k, w in enumerate(item) for x in ([w, word()] if k % 2 else [w])] + filler[1500:]
-    docs[7] = filler + item[:15]
+    docs[7] = filler + item[:12]
     docs |= {100 * (k + 1) + n: item if n == 9 else docs[n] for k in range(copies) for n in (5, 9)}
     spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
@@ -319,6 +319,17 @@ def test_decontamination_of_copies_edited_throughout(spark, tmp_path, copies):
     assert got == {i: smith_waterman(tokens(" ".join(item)), tokens(" ".join(docs[i])))[0] / 40 for i in got}
 
 
+def test_decontamination_of_excerpts():
+    """A run of words counts whatever its share of the item; a shorter one does not."""
+    rng = np.random.default_rng(9)
+    words = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    items = Items([(k, words(n)) for k, n in enumerate((59, 500, 20))])
+    for number, length in ((0, 25), (1, 200), (1, 13), (1, 12), (2, 10), (2, 9)):
+        item = items.items[number][1]
+        got = leaks(np.r_[words(2000), item[7 : 7 + length], words(70)], items)
+        assert got == ([(number, length / len(item), 2000, 2000 + length)] if length not in (12, 9) else [])
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     rng = np.random.default_rng(4)
     for _ in range(20):
