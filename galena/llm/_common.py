@@ -45,16 +45,24 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, which all its executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    the session has none (local runs).
+    It is that of ``spark.checkpoint.dir``. Only a local session, whose executors are the
+    driver itself, gets a temporary one if it has none; a cluster without one is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="galena-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="galena-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed, numbered, small_batches
+from galena.llm._common import numbered, shared_folder, small_batches
 
 #: Fixed values of the code: ids per word and bits per id of selectors 1 to 14.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -23,14 +26,23 @@ ESCAPE = 0
 MAGIC = 0x53384231
 #: A block is closed once it has this many ids; documents are never cut.
 BLOCK_IDS = 1 << 16
-#: Bytes of text that one output file gets on average.
-FILE_BYTES = 16 << 20
+#: Bytes of text that one output file gets, at least and at most, on average. Between them
+#: there are as many files as the session has shuffle partitions.
+LEAST_FILE, MOST_FILE = 16 << 20, 256 << 20
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 600_000
 
 #: White space to str.split() that the tokenizer's own pattern counts as part of a word.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile(rf"(?:\S|[{_CONTROLS}])+")
+#: Letters below this code point are Latin; the one dotted capital among them is lowered to two
+#: characters.
+LATIN_END, DOTTED_I = "\u0250", "\u0130"
+_MARKS = (".", ",")
+_TOUCH = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+#: What keeps a text from being cut at full stops and commas: controls, capitals that are not
+#: lowered by themselves, and marks in a row.
+_WHOLE = (*_CONTROLS, DOTTED_I, "\u03a3", *(a + b for a in _MARKS for b in _MARKS))
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,41 +132,105 @@ def read_block(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, in
     return [int(i) if k else None for i, k in zip(ids, known, strict=True)], offsets, values, before
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the
+    code points from 256 on, in turn."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _plain(word: str) -> bool:
+    """Letters only, each of which is lowered to one letter and composes with no other."""
+    return word.isalpha() and (word.isascii() or max(word) < LATIN_END and DOTTED_I not in word)
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as bytes, by the tokenizers library.
 
     The vocabulary's tokenizer drops white space and merges within words only, so a text's
-    ids are those of its words in turn. U+001C to U+001F are no white space to it.
+    ids are those of its words in turn. U+001C to U+001F are no white space to it. A word of
+    Latin letters is one piece to its pattern and goes to the library's model at once, in
+    lower case and in the byte-level alphabet; any other word takes the library's whole way.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.model = self.tokenizer.model
+        self.pieces = self.tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        if word.isascii() and word.isalpha():
-            ids = [t.id for t in self.model.tokenize(word.lower())]
-        elif (stem := word.rstrip(".,")) != word and stem and stem[-1].isalpha():
-            raw = self[word] = self[stem] + self[word[len(stem) :]]
-            return raw
+        raw = self[word] = self.fresh(word)
+        return raw
+
+    def fresh(self, word: str) -> bytes:
+        """The word's ids by the library, not remembered."""
+        if _plain(word):
+            piece = word.lower()
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [t.id for t in self.pieces(piece)]
+        elif (stem := word.rstrip(".,")) != word and _plain(stem[-1:]):
+            return self[stem] + self[word[len(stem) :]]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        raw = self[word] = np.array(ids, "<u4").tobytes()
-        return raw
+        ids = array("I", ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         words = _WORD.findall(text) if any(c in text for c in _CONTROLS) else text.split()
         return b"".join(map(self.__getitem__, words))
 
 
+class _Touching(Exception):
+    """A word that begins or ends with a mark, which may belong to the mark beside it."""
+
+
+class TextIds(dict):
+    """Ids of texts: words in lower case, without the full stops and commas around them.
+
+    Fewer words are different so. Text in which a full stop or comma may touch another mark,
+    or whose lower case depends on more than each letter, is read word by word by ``WordIds``.
+    """
+
+    def __init__(self, words: WordIds):
+        self.words = words
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+        if word not in _MARKS and not (word[0].isalnum() and word[0] < LATIN_END and word[-1].isalnum() and word[-1] < LATIN_END):
+            raise _Touching
+        raw = self[word] = self.words.fresh(word)
+        return raw
+
+    def encode(self, text: str) -> bytes:
+        if any(c in text for c in _WHOLE):
+            return self.words.encode(text)
+        words = text.lower().replace(".", " . ").replace(",", " , ").split()
+        try:
+            return b"".join(map(self.__getitem__, words))
+        except _Touching:
+            return self.words.encode(text) if _TOUCH.search(text) else b"".join(map(self.words.__getitem__, words))
+
+
 @lru_cache(maxsize=2)
-def word_ids(tokenizer_file: str) -> WordIds:
+def word_ids(tokenizer_file: str) -> TextIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(tokenizer_file)
+    return TextIds(WordIds(tokenizer_file))
+
+
+def files_for(rows: DataFrame, wished: int) -> int:
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+    return max(1, -(-total // MOST_FILE), min(wished, -(-total // LEAST_FILE)))
 
 
 def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -162,13 +238,13 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: s
 
     Rows are range-partitioned by id (then by text hash and row number, so that even a
     repeated id spreads out), sorted, encoded and written by the same task. The result has a
-    row per block: ``file, block, n_ids, image``. Without ``path`` the files go to the
-    session's shared checkpoint folder.
+    row per block: ``file, block, n_ids, image``. They are Parquet files in ``path``, without
+    which they go to a new folder in the session's shared checkpoint folder.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = numbered(docs, id_col, text_col).withColumn("tie", F.xxhash64("body"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or files_for(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("rid")]
     ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
@@ -200,10 +276,9 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, path: s
             yield close()
 
     blocks = ranged.select("doc_id", "body").mapInArrow(run, "file int, block long, n_ids long, image binary")
-    if path is None:
-        return checkpointed(blocks)
+    path = path or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     blocks.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema("file int, block long, n_ids long, image binary").parquet(path)
 
 
 def read_token_files(blocks: DataFrame) -> DataFrame:

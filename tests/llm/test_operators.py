@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -113,7 +114,6 @@ def test_token_files(odd_docs, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD_FILE)
-    tok.encode_special_tokens = True
     got = s8.token_files(odd_docs, WORD_FILE, 1, path=str(tmp_path / "files"), files=4).collect()
     at = 0
     for r in sorted(got, key=lambda r: r["start"]):
@@ -146,6 +146,31 @@ def test_word_ids_of_special_tokens_are_the_librarys(text):
     assert ids.tolist() == Tokenizer.from_file(WORD_FILE).encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_any_text_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    rng, tok, table = random.Random(1), Tokenizer.from_file(WORD_FILE), s8.word_ids(WORD_FILE)
+    marks = ["\u0130", "\u017f", "\u1e9e", "\u03a3", "\u0307", "\u0301", "<|endoftext|>", "'s", "'ll", "...", ".,", "\u4f60", " ", " ", " ", ",", ".", ",", "."]
+    letters = [chr(c) for c in range(0x250)] + marks * 4
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(8000)]
+    for text in [*texts, "\u0130,", "a).b", "e.g. 4.0, and so on."]:
+        assert np.frombuffer(table.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_follow_the_size():
+    class Total:
+        def __init__(self, n):
+            self.n = n
+
+        def agg(self, _):
+            return self
+
+        def first(self):
+            return [self.n]
+
+    assert [s8.files_for(Total(n), 50) for n in (0, 1, 100 << 20, 800 << 20, 100 << 30)] == [1, 1, 7, 50, 400]
+
+
 def test_shards(odd_docs, odd_rows):
     got = shard_by_splitters(odd_docs, shards=3).collect()
     for shard in range(3):
