@@ -45,16 +45,24 @@ _TOUCH = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 _WHOLE = (*_CONTROLS, DOTTED_I, "\u03a3", *(a + b for a in _MARKS for b in _MARKS))
 
 
+def _widths(values: np.ndarray) -> np.ndarray:
+    """Least width of the code that holds each value; 255 where none does."""
+    bits = np.full(len(values), 255, np.uint8)
+    for width in sorted(WIDTHS, reverse=True):
+        bits[values < np.uint64(1 << width)] = width
+    return bits
+
+
+_SHORT_WIDTHS = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words and escaped values of ``values`` (unsigned 64-bit)."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.uint8)
-    for width in sorted(set(WIDTHS), reverse=True):
-        bits[values < np.uint64(1 << width)] = width
-    bits[values >= np.uint64(1 << 60)] = 255
+    bits = _SHORT_WIDTHS[values] if values.max() < len(_SHORT_WIDTHS) else _widths(values)
     selector = np.zeros(n, np.uint8)
     selector[bits <= 60] = len(COUNTS)
     widest, reach = bits.copy(), 1
