@@ -32,17 +32,29 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: The columns of a text's 128-bit hash.
+TEXT_KEY = ("key_a", "key_b")
+
+
+def text_key(body: str = "body") -> list[Column]:
+    """Two independent 64-bit hashes. They name a text in any reading of the table, however
+    the reading is split; texts that differ share both with chance 2**-128."""
+    return [F.xxhash64(body).alias(TEXT_KEY[0]), F.xxhash64(F.lit(0x5EED), body).alias(TEXT_KEY[1])]
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, doc_id, body``: one row per input row, null text read as empty.
+    """``rid, doc_id, body, key_a, key_b``: one row per input row, null text read as empty.
 
-    ``rid`` tells repeated rows apart. It is stable as long as the input can be replayed in
-    the same partitions, which holds for files and checkpoints.
+    ``rid`` tells repeated rows apart within this reading only: another one may be split
+    otherwise and number rows otherwise. So what holds a ``rid`` is checkpointed before it is
+    used, and a second reading is matched by id and text hash.
     """
-    return docs.select(
+    rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"),
     )
+    return rows.select("rid", "doc_id", "body", *text_key())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,19 +92,14 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(low) if _OTHER_SPACE.search(low) else low.split()
 
 
-#: Row numbers hold a partition in the bits from here up and a count below; both must tell in
-#: a bitmap's bits.
-_PARTITION_SHIFT, _SPREAD = 33, 100_003
-
-
 def id_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits (a power of two) with one bit set for every ``column`` value.
+    """A bitmap of ``bits`` bits (a power of two) with one bit set for every ``column`` value,
+    which is a hash.
 
     Its size is fixed, however many keys there are; the driver receives ``bits`` / 8 small
     rows at most.
     """
-    spread = F.col(column).bitwiseXOR(F.shiftright(column, _PARTITION_SHIFT) * _SPREAD)
-    at = keys.select(spread.bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("bit"))
     words = at.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("byte"))
     bitmap = np.zeros(bits // 8, np.uint8)
     found = words.toArrow()
@@ -103,21 +110,36 @@ def id_bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
 
 def in_bitmap(values: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Which of ``values`` may be among the bitmap's keys."""
-    values = values.astype(np.int64)
-    at = (values ^ ((values >> _PARTITION_SHIFT) * _SPREAD)) & (8 * len(bitmap) - 1)
+    at = values.astype(np.int64) & (8 * len(bitmap) - 1)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def routed(rows: DataFrame, column: str, keys: DataFrame, bits: int) -> DataFrame:
-    """``rows`` semi-joined with ``keys`` on ``column``. A bitmap goes ahead and saves
-    shuffling; the exact join follows."""
-    bitmap = id_bitmap(keys, column, bits)
+#: Texts of a partition that are remembered as sent; beyond that some are sent again.
+SENT = 1 << 18
+
+
+def first_of_each(rows: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
+    """From a partition one row for each text, if its ``key_a`` is in the bitmap."""
 
     def run(batches):
+        sent: set = set()
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(batch.column(column).to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema).join(keys.select(column), column, "left_semi")
+            if bitmap is not None:
+                batch = batch.filter(pa.array(in_bitmap(batch.column(TEXT_KEY[0]).to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
+            new = []
+            for key in zip(*(batch.column(c).to_pylist() for c in TEXT_KEY), strict=True):
+                new.append(key not in sent)
+                sent.add(key)
+            if len(sent) > SENT:
+                sent.clear()
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def without_repeats(rows: DataFrame) -> DataFrame:
+    """One row ``key_a, key_b, body`` for each text of ``first_of_each``."""
+    return rows.groupBy(*TEXT_KEY).agg(F.first("body").alias("body"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = checkpointed(least)  # as an input of its own, the join can split a hub's neighbours
     joined = both.join(least, "u")
     if larger_only:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -1,36 +1,16 @@
-"""Word hashes and shingle sets."""
+"""Shingle sets of word hashes."""
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-
-from galena.llm._common import mixed, words_of
-
-#: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
-
-_FACTORS = np.random.default_rng(77).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
+from collections.abc import Iterator
 
-class WordHashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_hashes = WordHashes()
+import numpy as np
+import pyarrow as pa
 
+from galena.llm._common import mixed
+from galena.llm._words import batch_words
 
-def word_hashes(text: str) -> np.ndarray:
-    return _hashes.of(words_of(text))
+_FACTORS = np.random.default_rng(78).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -44,10 +24,10 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total + np.uint64(n))
 
 
-def shingle_set(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles of ``text``.
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its ``n``-word shingles.
 
     A text of fewer words, but some, has its whole sequence as its one shingle.
     """
-    hashes = word_hashes(text)
-    return np.unique(grams(hashes, min(n, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
+    for hashes in batch_words(column):
+        yield np.unique(grams(hashes, min(n, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)

@@ -7,12 +7,13 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm._common import numbered, small_batches
-from galena.llm._shingles import _hashes
 
 #: Alignment scores: a word that matches, one that is replaced, one that is left out or added.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -27,12 +28,29 @@ PASS_WORDS = 1 << 21
 #: Words of a text that are looked up at once, at least.
 CHUNK_WORDS = 1024
 
+#: Words whose hashes a worker remembers; beyond that it starts anew.
+REMEMBERED = 400_000
+
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+class WordHashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hashes = WordHashes()
+
+
 def tokens(text: str) -> np.ndarray:
     """Hashes of the runs of letters and digits, in lower case."""
-    return _hashes.of(_TOKEN.findall(text.lower()))
+    words = _TOKEN.findall(text.lower())
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 @dataclass
@@ -174,19 +192,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small_batches(spark)
     rows = numbered(docs, id_col, text_col)
     schema = "rid long, doc_id long, item_id long, score double, start long, end long"
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_id_col).cast("long"), F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).toLocalIterator()]
+    out = None
+    for part in _parts(benchmark, item_id_col, item_text_col, pass_words):
+        found = _one_pass(rows, with_words(part, share), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _parts(benchmark: DataFrame, item_id_col: str, item_text_col: str, pass_words: int) -> list[list[tuple[int, str]]]:
+    """Items, in parts of about ``pass_words`` words."""
     parts, size = [[]], 0
-    for item in items:
+    for item in benchmark.select(F.col(item_id_col).cast("long"), F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))).toLocalIterator():
         if size and size + len(item[1]) > 6 * pass_words:
             parts.append([])
             size = 0
-        parts[-1].append(item)
+        parts[-1].append((item[0], item[1]))
         size += len(item[1])
-    out = None
-    for part in parts:
-        found = _one_pass(rows, with_words(part, share), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return parts
+
+
+def _clean_of(items: Items):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not leaks(tokens(t or ""), items) for t in texts], dtype=bool)
+
+    return clean
+
+
+def clean_column(benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", share: float = LEAST_SHARE, pass_words: int = PASS_WORDS):
+    """A function of a text column: true where ``decontaminate`` finds no item.
+
+    A null or empty text is clean. Each row is judged where it is read.
+    """
+    small_batches(benchmark.sparkSession)
+    columns = [_clean_of(with_words(part, share)) for part in _parts(benchmark, item_id_col, item_text_col, pass_words)]
+
+    def judged(text):
+        out = F.lit(True)
+        for clean in columns:
+            out = out & clean(text)
+        return out
+
+    return judged
 
 
 def _one_pass(rows: DataFrame, items: Items, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed, numbered, routed, small_batches
+from galena.llm._common import TEXT_KEY, checkpointed, id_bitmap, in_bitmap, numbered, small_batches
 
 #: Fingerprints that one merged filter holds on average; sets how many ranges there are.
 FILTER_ROWS = 1 << 20
@@ -131,26 +131,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each partition puts its 64-bit text fingerprints in counting quotient filters, one per
     fingerprint range; the filters of a range merge in one task. Texts whose fingerprint
-    counts above one are routed, through a bitmap of fixed size and then an exact semi join,
-    to a grouping by the text's own bytes, which combines copies before the shuffle.
-
-    Returns ``rid, doc_id, keep_id, group_size, kept, text_sha256``, one row per input row. A
-    null text counts as the empty text, and empty texts are copies of one another. A null id
-    is smaller than any other; ``keep_id`` is null only where a group has no other. Of
-    repeated rows with the same id and text exactly one is kept, the one read last (largest
-    ``rid``). An empty table gives no rows; other columns are not read. Should two texts
-    share SHA-256 and fingerprint but not bytes, the query fails instead of joining them.
+    counts above one are routed, through a bitmap of fixed size, to a grouping by the text's
+    own bytes, which combines a partition's copies before the shuffle; an exact semi join
+    then drops what the bitmap let through.
+
+    Returns ``rid, doc_id, keep_id, group_size, kept, text_sha256`` and the text's hash
+    ``key_a, key_b``, one row per input row. A null text counts as the empty text, and empty
+    texts are copies of one another. A null id is smaller than any other; ``keep_id`` is null
+    only where a group has no other. Of repeated rows with the same id and text exactly one
+    is kept, the one read last (largest ``rid``). An empty table gives no rows; other columns
+    are not read. Should two texts share SHA-256 and fingerprint but not bytes, the query
+    fails instead of joining them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = numbered(docs, id_col, text_col).withColumn("fp", F.xxhash64("body"))
-    narrow = checkpointed(rows.select("rid", "doc_id", "fp", F.sha2("body", 256).alias("text_sha256")))
+    rows = numbered(docs, id_col, text_col).withColumnRenamed(TEXT_KEY[0], "fp")
+    narrow = checkpointed(rows.select("rid", "doc_id", "fp", TEXT_KEY[1], F.sha2("body", 256).alias("text_sha256")))
     total = narrow.count()
     repeated = checkpointed(repeated_fingerprints(narrow, total, filter_rows))
-    doubtful = routed(rows.select("fp", "body"), "fp", repeated, route_bits)
-    verified = doubtful.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).groupBy("fp", F.sha2("body", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    bitmap = id_bitmap(repeated, "fp", route_bits)
+
+    def listed(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(batch.column("fp").to_numpy(zero_copy_only=False), bitmap), pa.bool_()))
+
+    doubtful = rows.select("fp", "body").mapInArrow(listed, "fp long, body string")
+    texts = doubtful.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("n")).join(repeated.select("fp"), "fp", "left_semi")
+    verified = texts.groupBy("fp", F.sha2("body", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
     largest = F.max(F.struct("doc_id", "rid"))
-    # Combined before they meet: a hot group is one row a partition here.
     groups = narrow.groupBy("fp", "text_sha256").agg(largest.alias("top"), F.count(F.lit(1)).alias("size")).join(repeated.select("fp"), "fp", "left_semi")
     checked = groups.join(verified, ["fp", "text_sha256"], "left").select(
         "fp",
@@ -168,4 +176,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("size"), F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("rid") == F.col("top_rid"))).alias("kept"),
         "text_sha256",
+        F.col("fp").alias(TEXT_KEY[0]),
+        TEXT_KEY[1],
     )

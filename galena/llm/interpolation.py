@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from galena.llm._common import checkpointed, mixed, numbered, small_batches
 from galena.llm._exchange import PACKETS, answered, buckets_for, packets, tallied, totals
-from galena.llm._shingles import word_hashes
+from galena.llm._words import batch_words
 
 #: Tokens of one block of documents.
 BLOCK_TOKENS = 3 << 19
@@ -165,9 +165,9 @@ def _blocks(modulus: int, weights_part: int, block_tokens: int):
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for rid, doc_id, text, rest in zip(batch.column("rid").to_pylist(), ids, batch.column("body"), remainders(ids, modulus), strict=True):
+            for rid, doc_id, words, rest in zip(batch.column("rid").to_pylist(), ids, batch_words(batch.column("body")), remainders(ids, modulus), strict=True):
                 kind = bool(rest == weights_part)
-                hashes = np.r_[word_hashes(text.as_py()), END]
+                hashes = np.r_[words, END]
                 for to, value in zip(held[kind], (rid, doc_id, len(hashes), hashes), strict=True):
                     to.append(value)
                 size[kind] += len(hashes)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm._common import documents, in_training
+from galena.llm._common import TEXT_KEY, documents, in_training
 from galena.llm.bpe import bpe_round_trip
 from galena.llm.decontaminate import decontaminate
 from galena.llm.exact_dedup import exact_dedup
@@ -31,7 +31,7 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir)).drop("rid")
+    return exact_dedup(documents(spark, sf_dir)).drop("rid", *TEXT_KEY)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir), words=5, percent=75).drop("rid", "keep_rid")
+    return near_dedup(documents(spark, sf_dir), words=5, percent=75).drop("rid", "keep_rid", *TEXT_KEY)
 
 
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,8 +292,8 @@ def test_sketch_estimates_similarity():
     assert (sketch(both[:1], 250) < np.iinfo(np.uint64).max).all()
 
 
-@pytest.mark.parametrize("width", [40, 400])
-def test_repeated_spans(odd_docs, odd_rows, width):
+@pytest.mark.parametrize("width, places", [(40, 4096), (400, 4096), (40, 5), (400, 0), (7, 30)])
+def test_repeated_spans(odd_docs, odd_rows, width, places):
     raw = [(t or "").encode() for _, t, *_ in odd_rows]
     seen = collections.Counter(b[p : p + width] for b in raw for p in range(len(b) - width + 1))
     want = collections.Counter()
@@ -304,7 +304,7 @@ def test_repeated_spans(odd_docs, odd_rows, width):
                 mask[p : p + width] = b"\1" * width
         runs = len(re.findall(b"\1+", bytes(mask)))
         want[i, len(b), sum(mask), runs, hashlib.sha256(bytes(x for x, m in zip(b, mask, strict=True) if not m)).hexdigest()] += 1
-    got = repeated_spans(odd_docs, width=width, block_bytes=20_000).collect()
+    got = repeated_spans(odd_docs, width=width, block_bytes=20_000, ordered_places=places, bucket_suffixes=500).collect()
     assert want == collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
 
 
