@@ -14,6 +14,7 @@ import pytest
 from galena.llm import exact_dedup as ed
 from galena.llm import secret_scan as ss
 from galena.llm import simple8b as s8
+from galena.llm import toxicity
 from galena.llm._exchange import pack_sorted, squeeze, unpack_sorted, unsqueeze
 from galena.llm.bpe import bpe_round_trip, encode, encoding, safe_pieces
 from galena.llm.decontaminate import Items, decontaminate, leaks, smith_waterman, tokens
@@ -398,6 +399,32 @@ def test_toxicity(spark, tmp_path, no_docs):
     assert len({r["score"] for r in score_toxicity(docs, blank).collect()}) == 1
 
 
+def test_toxic_words_of_unseen_endings():
+    """The dictionaries hold strings, not words: new forms of toxic stems are found."""
+    rng = random.Random(4)
+    good = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    endings = rng.sample([a + b + c for a in "aeioulmnrst" for b in "aeioulmnrst" for c in "aeioulmnrst"], 200)
+    stems = ["zvagh", "quiff", "bdobk"]
+    text = lambda own: " ".join(rng.choice(good) if k % 12 else f"{rng.choice(stems)}{rng.choice(own)}" if own else rng.choice(good) for k in range(120))
+    taught = [text(endings[:100]) for _ in range(200)]
+    model = toxicity.train([text(None) for _ in range(300)], taught)
+    rows = [(text(endings[:100]), 1) for _ in range(60)] + [(text(None), 0) for _ in range(120)]
+    toxicity.calibrate(model, np.array([y for _, y in rows], float), np.array([toxicity.features(model.gains(t)) for t, _ in rows]))
+    unseen = [text(endings[100:]) for _ in range(50)]
+    assert sum(model.score(t) >= 0.3 for t in unseen) >= 48
+    assert sum(model.score(text(None)) >= 0.3 for _ in range(100)) <= 3
+    assert not {w for t in unseen for w in t.split() if w[:5] in stems} & {w for t in taught for w in t.split()}
+
+
+def test_windows_cover_the_whole_text():
+    found = toxicity.words("A b, c! " * 7)
+    assert b"".join(toxicity.windows(found, 4, 4)).split() == [w.encode() for w in found]
+    for n in range(1, 60):
+        numbers = [str(k) for k in range(n)]
+        assert {w.decode() for x in toxicity.windows(numbers) for w in x.split()} == set(numbers)
+    assert toxicity.windows([]) == [] and toxicity.features(np.zeros(0, np.int64)).tolist()[1:] == [0] * 7
+
+
 def test_packed_integers():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert np.array_equal(unpack_sorted(pack_sorted(keys)), keys)
