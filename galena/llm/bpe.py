@@ -22,6 +22,13 @@ PIECE_CHARS = 1 << 16
 #: cut in front of a blank that follows a character which no definition counts as white space.
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
+#: The white space of the pattern's ``\s``.
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space from this many characters on is not left to the pattern, which steps back
+#: through it one by one and needs stack for each step.
+LONG_RUN = 1 << 16
+_LONG_RUN = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
+
 
 @lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str):
@@ -53,10 +60,20 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(text: str, enc, piece_chars: int = PIECE_CHARS) -> np.ndarray:
-    """Ids of ``text`` as unsigned 32-bit integers."""
+    """Ids of ``text`` as unsigned 32-bit integers.
+
+    A long run of white space is one match, without its last character unless it ends the
+    text; the matches on either side are those of the text on either side.
+    """
     if len(text) <= piece_chars:
         return np.array(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in safe_pieces(text, piece_chars)])
+    ids, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        ids += [enc.encode_ordinary(p) for p in safe_pieces(text[at : run.start()], piece_chars)]
+        at = run.end() - (run.end() < len(text))
+        ids.append(enc._encode_single_piece(text[run.start() : at]))
+    ids += [enc.encode_ordinary(p) for p in safe_pieces(text[at:], piece_chars)]
+    return np.concatenate([np.array(i, dtype="<u4") for i in ids])
 
 
 def decode(ids: np.ndarray, enc) -> bytes:
