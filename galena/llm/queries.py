@@ -23,7 +23,8 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(documents(spark, sf_dir), repo_col="source", owner_col="source")
+    # A source is an owner, and what it has in one language a repository of it.
+    return secret_scan(documents(spark, sf_dir), repo_col=F.concat_ws("/", "source", "lang"), owner_col="source")
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from galena.llm import exact_dedup as ed
 from galena.llm import secret_scan as ss
 from galena.llm import simple8b as s8
 from galena.llm import toxicity
 from galena.llm._exchange import pack_sorted, squeeze, unpack_sorted, unsqueeze
-from galena.llm.bpe import bpe_round_trip, encode, encoding, safe_pieces
+from galena.llm.bpe import bpe_round_trip, decode, encode, encoding, safe_pieces
 from galena.llm.decontaminate import Items, decontaminate, leaks, smith_waterman, tokens
 from galena.llm.interpolation import interpolated_scores
 from galena.llm.near_dedup import near_dedup, sketch
@@ -97,6 +98,16 @@ def test_bpe_matches_the_library(odd_docs):
     assert texts == sorted(r["decoded_sha256"] for r in bpe_round_trip(odd_docs, RANK_FILE, public_tokenizers.PATTERN).collect())
 
 
+def test_bpe_of_long_runs_of_white_space():
+    """Runs that the library can still take whole, and runs that it cannot."""
+    enc = encoding(RANK_FILE, public_tokenizers.PATTERN)
+    for run in (" " * 70_000, "\n" * 70_000, " \t\r\n\u3000\x85" * 12_000, "\x1c" * 70_000):
+        for text in (run, "a" + run, run + "a", f"a{run}b\n{run}.{run[:-1]}", f"{run}\x1c{run}\u00e9"):
+            assert encode(text, enc).tolist() == enc.encode_ordinary(text)
+    for text in (" " * 2_000_000, "a" + "\n" * 1_500_000 + "b", " " * 1_000_000 + "x" + " " * 1_000_000 + "\t"):
+        assert decode(encode(text, enc), enc) == text.encode()
+
+
 @pytest.mark.parametrize("values", [[], [0], [1] * 500, [2**60 - 1, 2**60, 2**64 - 1, 0], list(range(3000)), [2**i for i in range(64)] * 3, [0] * 61 + [9] * 61])
 def test_simple8b_round_trip(values):
     values = np.array(values, np.uint64)
@@ -223,6 +234,43 @@ def test_secrets(spark, tmp_path):
     assert got[1]["spans"] == f"live:2:{2 + len(key)}" and got[3]["spans"] == "" and got[6]["spans"] == ""
 
 
+def test_secret_spans_against_brute_force(spark, tmp_path):
+    """Every column, with values of one or several owners, repositories and many uses."""
+    rng = random.Random(12)
+    letters = "abcdefghABCDEFGH0123456789+/_-"
+    values = ["".join(rng.choice(letters) for _ in range(rng.randint(15, 40))) for _ in range(60)] + ["a1" * 15, "AKIA" + "Q7" * 9, "0f" * 20]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(values[:40]) if rng.random() < 0.1 else values[40 + (i % 5)] if i % 7 == 0 else "word" for _ in range(rng.randint(0, 6))]
+        own += [f"token={values[i % 60]}"] if i % 11 == 0 else []
+        own += [values[-1]] if i % 40 == 0 else []
+        rows.append((i if i % 50 else None, " ".join(own) if i % 23 else None, rng.choice(["en", "de", None]), rng.choice([None, *"stuv"]) if i % 5 else "s"))
+    rows += [(1000 + k, f"x {values[45]}z9z9z9z9z9 y", "en", "s") for k in range(30)] + [(2000 + k, f"x {values[46]}z9z9z9z9z9 y", "en", None) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    uses, spans = [], []
+    for i, text, lang, owner in rows:
+        text = text or ""
+        base = base_brute(text)
+        more = [(*m.span(), "live") for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        more = [m for m in more if ss.entropy(text[m[0] : m[1]]) >= 3 and all(m[1] <= a or m[0] >= b for a, b, _ in base)]
+        own = [(a, b, k, re.fullmatch(ss.ASSIGN, text[a:b], re.I | re.A)[2] if k == "assign" else text[a:b]) for a, b, k in base + more]
+        spans.append(own)
+        uses += [(v, "/".join(x for x in (owner, lang) if x), owner) for *_, v in own]
+    want = collections.Counter()
+    for (i, *_), own in zip(rows, spans, strict=True):
+        counts = {v: (len({r for x, r, _ in uses if x == v}), len({o for x, _, o in uses if x == v}), sum(x == v for x, _, _ in uses)) for *_, v in own}
+        live = lambda v: counts[v][1] <= 1 and counts[v][0] <= 3 and counts[v][2] <= 20 and ss.entropy(v) >= 3  # noqa: B023, E731
+        kept = [(a, b, k, v) for a, b, k, v in own if k != "live" or live(v)]
+        most = [max([counts[v][n] for *_, v in kept], default=0) for n in range(3)]
+        want[i, ss.written([s[:3] for s in kept]), sum(live(v) for *_, v in kept), sum(not live(v) for *_, v in kept), *most] += 1
+    repo = {"repo_col": F.concat_ws("/", "source", "lang"), "owner_col": "source"}
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = ss.secret_scan(docs, **repo).collect()
+    assert want == collections.Counter((r["doc_id"], r["spans"], r["n_live"], r["n_example"], r["most_repos"], r["most_owners"], r["most_uses"]) for r in got)
+    table = {r["value"]: (r["n_repos"], r["n_owners"], r["n_uses"]) for r in ss.secret_values(docs, **repo).collect()}
+    assert table == {hashlib.sha256(v.encode()).hexdigest(): (len({r for x, r, _ in uses if x == v}), len({o for x, _, o in uses if x == v}), sum(x == v for x, _, _ in uses)) for v, *_ in uses}
+
+
 def test_interpolation(odd_docs, odd_rows):
     got = interpolated_scores(odd_docs, block_tokens=500).collect()
     counts = collections.Counter()
