@@ -44,11 +44,11 @@ def _long_word(data: np.ndarray) -> np.uint64:
     return mixed(np.array([total], np.uint64))[0]
 
 
-def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, edges: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of ``data``, and how many lie before each of ``edges``, at which
     words end too. A-Z count as a-z."""
     up, down = _power_tables(len(data))
-    inside = _IN_WORD[data]
+    inside = in_word[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -61,23 +61,23 @@ def _hashed(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mixed((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, edges)
 
 
-def _long_text(data: np.ndarray) -> np.ndarray:
-    """Word hashes of a text of any length, in tiles cut behind white space."""
+def _long_text(data: np.ndarray, in_word: np.ndarray) -> np.ndarray:
+    """Word hashes of a text of any length, in tiles cut behind what separates words."""
     out, at = [], 0
     while at < len(data):
         tile = data[at : at + TILE]
         if at + TILE < len(data):
-            gaps = np.flatnonzero(~_IN_WORD[tile])
+            gaps = np.flatnonzero(~in_word[tile])
             if not len(gaps):
                 ahead = at + TILE
-                while ahead < len(data) and _IN_WORD[data[ahead : ahead + TILE]].all():
+                while ahead < len(data) and in_word[data[ahead : ahead + TILE]].all():
                     ahead += TILE
-                end = min(len(data), ahead + (int(np.argmin(_IN_WORD[data[ahead : ahead + TILE]])) if ahead < len(data) else 0))
+                end = min(len(data), ahead + (int(np.argmin(in_word[data[ahead : ahead + TILE]])) if ahead < len(data) else 0))
                 out.append(np.array([_long_word(data[at:end])], np.uint64))
                 at = end
                 continue
             tile = tile[: int(gaps[-1]) + 1]
-        out.append(_hashed(tile, np.zeros(0, np.int64))[0])
+        out.append(_hashed(tile, np.zeros(0, np.int64), in_word)[0])
         at += len(tile)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -90,11 +90,11 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def batch_words(column: pa.Array) -> Iterator[np.ndarray]:
+def batch_words(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> Iterator[np.ndarray]:
     """For each text of ``column`` (UTF-8, no nulls) the 64-bit hashes of its words, in order.
 
-    Words are what stands between spaces and the control characters from tab to carriage
-    return; A-Z are read as a-z.
+    Words are runs of the bytes that ``in_word`` marks, by default what stands between spaces
+    and the control characters from tab to carriage return; A-Z are read as a-z.
     """
     if not len(column):
         return
@@ -103,13 +103,13 @@ def batch_words(column: pa.Array) -> Iterator[np.ndarray]:
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + TILE, "right")) - 1)
         if last == first + 1:
-            yield _long_text(data[at[first] : at[last]])
+            yield _long_text(data[at[first] : at[last]], in_word)
         else:
-            hashes, place = _hashed(data[at[first] : at[last]], at[first : last + 1] - at[first])
+            hashes, place = _hashed(data[at[first] : at[last]], at[first : last + 1] - at[first], in_word)
             yield from (hashes[a:b] for a, b in zip(place[:-1].tolist(), place[1:].tolist(), strict=True))
         first = last
 
 
 def text_words(text: str) -> np.ndarray:
     """Word hashes of one text, the same as in a batch."""
-    return _long_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+    return _long_text(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _IN_WORD)

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm._common import numbered, small_batches
+from galena.llm._words import batch_words
 
 #: Alignment scores: a word that matches, one that is replaced, one that is left out or added.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
@@ -28,29 +29,29 @@ PASS_WORDS = 1 << 21
 #: Words of a text that are looked up at once, at least.
 CHUNK_WORDS = 1024
 
-#: Words whose hashes a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Cells of items and words that are compared at once.
+CELLS = 1 << 18
+#: Bits by which most other words are passed over.
+SIEVE_BITS = 20
 
-_TOKEN = re.compile(r"[^\W_]+")
+#: Letters and digits of ASCII, and all bytes of other characters that are kept.
+_IN_TOKEN = np.zeros(256, bool)
+_IN_TOKEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+_OTHER = re.compile(r"[^\w\x00-\x7f]")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words."""
+def _lowered(text: str) -> str:
+    low = text.lower()
+    return low if low.isascii() else _OTHER.sub(" ", low)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
-
-_hashes = WordHashes()
+def batch_tokens(texts: list[str]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its runs of letters and digits, in lower case."""
+    return batch_words(pa.array([_lowered(t) for t in texts], pa.string()), _IN_TOKEN)
 
 
 def tokens(text: str) -> np.ndarray:
-    """Hashes of the runs of letters and digits, in lower case."""
-    words = _TOKEN.findall(text.lower())
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return next(batch_tokens([text]))
 
 
 @dataclass
@@ -60,13 +61,6 @@ class Items:
     items: list[tuple[int, np.ndarray]]
     share: float = LEAST_SHARE
     least: float = LEAST_SCORE
-    sizes: np.ndarray = field(init=False)
-    need: np.ndarray = field(init=False)
-    reach: np.ndarray = field(init=False)
-    vocabulary: np.ndarray = field(init=False)
-    starts: np.ndarray = field(init=False)
-    owners: np.ndarray = field(init=False)
-    repeats: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
@@ -79,46 +73,66 @@ class Items:
         pair, self.repeats = np.unique(word * max(1, len(self.items)) + np.repeat(np.arange(len(self.items)), self.sizes), return_counts=True)
         self.owners = pair % max(1, len(self.items))
         self.starts = np.searchsorted(pair, np.arange(len(self.vocabulary) + 1) * max(1, len(self.items)))
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self._cell(self.vocabulary)] = True
 
-    def owned(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``owners`` of all the items that have each word, and the words' places."""
-        n = self.starts[word + 1] - self.starts[word]
-        at = np.repeat(np.arange(len(word)), n)
-        return np.arange(len(at)) + np.repeat(self.starts[word] - np.cumsum(n) + n, n), at
+    def _cell(self, words: np.ndarray) -> np.ndarray:
+        return (words & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
 
-    def near(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item numbers and places in ``words`` at which an alignment that reaches the least
+    def near(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Item numbers, and places in ``words`` at which an alignment that reaches the least
         score may end; no other place can be such an end.
 
         An alignment scores at most its item's words that occur here at all, and at most what
         the passage would score if each word that the item has anywhere were a match and
         each other word a gap.
         """
-        word = np.searchsorted(self.vocabulary, words)
+        place = np.flatnonzero(self.sieve[self._cell(words)])
+        distinct, where = np.unique(words[place], return_inverse=True)
+        word = np.searchsorted(self.vocabulary, distinct)
         word[word == len(self.vocabulary)] = 0
-        place = np.flatnonzero(self.vocabulary[word] == words)
-        distinct, word = np.unique(word[place], return_inverse=True)
-        at, _ = self.owned(distinct)
-        possible = np.bincount(self.owners[at], self.repeats[at], len(self.items)) >= self.need
-        if not possible.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, row = self.owned(distinct[word])
-        kept = np.flatnonzero(possible[self.owners[at]])
-        number, place = self.owners[at[kept]], place[row[kept]]
-        order = np.argsort(number, kind="stable")
-        number, place = number[order], place[order]
-        # The best sum of a run of words that ends at a hit, within each item's hits.
-        level = (MATCH - GAP) * np.arange(len(place)) + GAP * place
-        apart = np.cumsum(np.r_[0, number[1:] != number[:-1]]) * (4.0 * (len(place) + len(words)))
-        bound = level - (np.minimum.accumulate(level - apart) + apart) + MATCH
-        ends = bound >= self.need[number]
-        return number[ends], place[ends]
+        n = np.where(self.vocabulary[word] == distinct, self.starts[word + 1] - self.starts[word], 0)
+        at = np.arange(int(n.sum())) + np.repeat(self.starts[word] - np.cumsum(n) + n, n)
+        owner, column = self.owners[at], np.repeat(np.arange(len(distinct)), n)
+        found = np.flatnonzero(np.bincount(owner, self.repeats[at], len(self.items)) >= self.need)
+        step = max(1, CELLS // max(1, len(place)))
+        for low in range(0, len(found), step):
+            part = found[low : low + step]
+            row = np.full(len(self.items), -1, np.int64)
+            row[part] = np.arange(len(part))
+            mine = row[owner] >= 0
+            has = np.zeros((len(part), len(distinct)), bool)
+            has[row[owner[mine]], column[mine]] = True
+            hit = has[:, where]
+            # The best sum of a run of words that ends at a hit, within each item's hits.
+            level = (np.cumsum(hit, axis=1, dtype=np.float32) - 1) * np.float32(MATCH - GAP) + (place * GAP).astype(np.float32)
+            lowest = np.minimum.accumulate(np.where(hit, level, np.float32(np.inf)), axis=1)
+            end = hit & (level - lowest + np.float32(MATCH) >= self.need[part, None])
+            for k in np.flatnonzero(end.any(axis=1)).tolist():
+                yield int(part[k]), place[end[k]]
 
 
 def with_words(items: list[tuple[int, str]], share: float = LEAST_SHARE) -> Items:
     return Items([(i, w) for i, t in items if len(w := tokens(t or ""))], share)
 
 
+def best_score(item: np.ndarray, passage: np.ndarray) -> float:
+    """Best local alignment score alone."""
+    n = len(passage)
+    ramp = np.arange(n + 1) * -GAP
+    row, best = np.zeros(n + 1), 0.0
+    gain = np.where(passage[None, :] == item[:, None], MATCH, MISMATCH)
+    for own in gain:
+        new = row + GAP
+        np.maximum(new[1:], row[:-1] + own, out=new[1:])
+        np.maximum(new, 0, out=new)
+        new += ramp
+        row = np.maximum.accumulate(new)
+        row -= ramp
+        best = max(best, row.max())
+    return float(best)
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment score and the passage words ``[start, end)`` that it covers."""
     n = len(passage)
@@ -152,19 +166,22 @@ def leaks(words: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
     spans: dict[int, list[list[int]]] = defaultdict(list)
     # Chunks overlap by the longest alignment, so that each lies in one of them as a whole.
     for first in range(0, max(1, len(words) - longest), chunk - longest):
-        numbers, ends = items.near(words[first : first + chunk])
-        for number, end in zip(numbers.tolist(), (ends + (first + 1)).tolist(), strict=True):
-            merged = spans[number]
-            begin = max(0, end - int(items.reach[number]))
-            if merged and begin <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([begin, end])
+        part = words[first : first + chunk]
+        for number, ends in items.near(part):
+            merged, reach = spans[number], int(items.reach[number])
+            for end in (ends + (first + 1)).tolist():
+                begin = max(0, end - reach)
+                if merged and begin <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([begin, end])
     out = []
     for number, merged in spans.items():
         item = items.items[number][1]
         best = (0.0, 0, 0)
         for a, b in merged:
+            if best_score(item, words[a:b]) < max(best[0], items.need[number]):
+                continue
             score, start, end = smith_waterman(item, words[a:b])
             if score > best[0]:
                 best = (score, a + start, a + end)
@@ -214,7 +231,7 @@ def _parts(benchmark: DataFrame, item_id_col: str, item_text_col: str, pass_word
 def _clean_of(items: Items):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not leaks(tokens(t or ""), items) for t in texts], dtype=bool)
+        return pd.Series([not leaks(words, items) for words in batch_tokens([t or "" for t in texts])], dtype=bool)
 
     return clean
 
@@ -240,8 +257,9 @@ def _one_pass(rows: DataFrame, items: Items, schema: str) -> DataFrame:
     def align(batches):
         for batch in batches:
             found = []
-            for rid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "body")), strict=True):
-                found += [(rid, doc_id, items.items[n][0], score, a, b) for n, score, a, b in leaks(tokens(text), items)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id")), batch_tokens(batch.column("body").to_pylist()), strict=True)
+            for rid, doc_id, words in rows:
+                found += [(rid, doc_id, items.items[n][0], score, a, b) for n, score, a, b in leaks(words, items)]
             columns = list(zip(*found, strict=True)) if found else [[]] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rid", "doc_id", "item_id", "score", "start", "end"])

@@ -18,7 +18,7 @@ from galena.llm import simple8b as s8
 from galena.llm import toxicity
 from galena.llm._exchange import pack_sorted, squeeze, unpack_sorted, unsqueeze
 from galena.llm.bpe import bpe_round_trip, decode, encode, encoding, safe_pieces
-from galena.llm.decontaminate import Items, decontaminate, leaks, smith_waterman, tokens
+from galena.llm.decontaminate import Items, batch_tokens, best_score, decontaminate, leaks, smith_waterman, tokens
 from galena.llm.interpolation import interpolated_scores
 from galena.llm.near_dedup import near_dedup, sketch
 from galena.llm.queries import RANK_FILE, WORD_FILE
@@ -393,6 +393,33 @@ def test_decontamination_of_copies_edited_throughout(spark, tmp_path, copies):
     assert got == {i: smith_waterman(tokens(" ".join(item)), tokens(" ".join(docs[i])))[0] / 40 for i in got}
 
 
+def test_tokens_are_runs_of_letters_and_digits():
+    rng, known = random.Random(5), {}
+    texts = ["".join(rng.choice("aA\u00e9\u00c9\u00df_\u0130 .,-\u20141\u00b2\u03a3\u4f60\u0307\u01c5") for _ in range(rng.randint(0, 20))) for _ in range(1000)]
+    for text, hashes in zip(texts, batch_tokens(texts), strict=True):
+        words = re.findall(r"[^\W_]+", text.lower())
+        assert len(words) == len(hashes)
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
+def test_leaks_against_plain_alignment():
+    """Whatever an alignment of a whole text with each item finds, the bounds let through."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    word = lambda n: np.where(rng.random(n) < 0.5, rng.choice(common, n), rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    items = Items([(k, word(int(rng.integers(3, 70)))) for k in range(25)])
+    for _ in range(40):
+        text = word(int(rng.integers(1, 2500)))
+        for k in rng.integers(0, 25, 2):
+            item = items.items[int(k)][1]
+            copy = item[rng.random(len(item)) < rng.uniform(0.3, 1)]
+            at = int(rng.integers(0, len(text) + 1))
+            text = np.r_[text[:at], copy, text[at:]]
+        want = {k: smith_waterman(item, text)[0] / len(item) for k, item in items.items if best_score(item, text) >= items.need[k]}
+        assert {k: score for k, score, _, _ in leaks(text, items)} == want
+
+
 def test_decontamination_of_excerpts():
     """A run of words counts whatever its share of the item; a shorter one does not."""
     rng = np.random.default_rng(9)
@@ -413,7 +440,7 @@ def test_smith_waterman_against_the_plain_recurrence():
             for j in range(len(b)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (1 if a[i] == b[j] else -0.5), h[i, j + 1] - 0.5, h[i + 1, j] - 0.5)
         score, start, end = smith_waterman(a, b)
-        assert score == h.max() and 0 <= start < end <= len(b)
+        assert score == h.max() == best_score(a, b) and 0 <= start < end <= len(b)
     assert len(tokens("")) == 0
 
 
