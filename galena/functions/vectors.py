@@ -74,12 +74,16 @@ def sign_bits(v: Column | str, weights: np.ndarray, thresholds: np.ndarray | Non
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions ``inner_product``, ``l2_norm``, ``cosine_similarity`` and ``hamming``."""
+    """SQL functions ``inner_product``, ``l2_norm``, ``l2_normalize``, ``cosine_similarity``,
+    ``hamming`` and ``encode_bits`` (words of the bits ``w . v > t``, 64 a word, the most
+    significant first; the last word is padded with zeros)."""
     product = "aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
     bodies = {
         "inner_product(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": product,
         "l2_norm(a ARRAY<FLOAT>) RETURNS DOUBLE": "sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x)))",
         "cosine_similarity(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE": f"{product} / (sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x))) * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))))",
+        "l2_normalize(a ARRAY<FLOAT>) RETURNS ARRAY<DOUBLE>": "transform(a, x -> double(x) / if(aggregate(a, 0D, (s, y) -> s + double(y) * double(y)) = 0, 1D, sqrt(aggregate(a, 0D, (s, y) -> s + double(y) * double(y)))))",
+        "encode_bits(v ARRAY<FLOAT>, w ARRAY<ARRAY<DOUBLE>>, t ARRAY<DOUBLE>) RETURNS ARRAY<BIGINT>": "transform(sequence(0, cast(ceil(size(w) / 64D) as int) - 1), k -> aggregate(sequence(0, least(63, size(w) - 64 * k - 1)), 0L, (s, b) -> s | if(aggregate(zip_with(v, w[64 * k + b], (x, y) -> double(x) * y), 0D, (z, x) -> z + x) > t[64 * k + b], shiftleft(1L, 63 - b), 0L)))",
         "hamming(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS BIGINT": "aggregate(zip_with(a, b, (x, y) -> bigint(bit_count(x ^ y))), 0L, (s, x) -> s + x)",
     }
     for head, body in bodies.items():

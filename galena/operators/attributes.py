@@ -47,7 +47,10 @@ def is_child(age: Column | str, threshold: int = CHILD_AGE) -> Column:
 
 def age_gate(age: Column | str, age_filter: str | None = None, min_age: int | None = None, max_age: int | None = None) -> Column:
     """Why a query is filtered out, or null. The first failing rule gives the reason: adults
-    only, children only, least age, greatest age. Filter on it before any search join."""
+    only, children only, least age, greatest age. Filter on it before any search join.
+
+    The reasons' wording is a fixed value of the output.
+    """
     age = F.col(age) if isinstance(age, str) else age
     if age_filter not in (None, "adult", "child"):
         raise ValueError("age_filter is adult, child or None")

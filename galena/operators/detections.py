@@ -19,7 +19,8 @@ def decode_anchors(raw: DataFrame, scale: str = "scale") -> DataFrame:
 
     ``raw``: ``image, stride, anchor, score, left, top, right, bottom`` and the image's
     ``scale``, distances in strides, ``anchor`` counting cells row by row with two anchors
-    each. Adds ``x1, y1, x2, y2`` in image coordinates.
+    each. Adds ``x1, y1, x2, y2`` in image coordinates. A column ``points`` of ten distances
+    (x and y of five points, in strides) becomes ten coordinates.
     """
     cells = F.lit(INPUT_SIZE) / F.col("stride")
     cell = F.floor(F.col("anchor") / ANCHORS)
@@ -27,6 +28,9 @@ def decode_anchors(raw: DataFrame, scale: str = "scale") -> DataFrame:
     out = raw
     for name, centre, side, sign in (("x1", x, "left", -1), ("y1", y, "top", -1), ("x2", x, "right", 1), ("y2", y, "bottom", 1)):
         out = out.withColumn(name, (centre + sign * F.col(side) * F.col("stride")) / F.col(scale))
+    if "points" in raw.columns:
+        at = F.transform("points", lambda d, k: (F.when(k % 2 == 0, x).otherwise(y) + d * F.col("stride")) / F.col(scale))
+        out = out.withColumn("points", at)
     return out
 
 
@@ -143,9 +147,29 @@ def similarity_transform(points: np.ndarray, target: np.ndarray) -> np.ndarray |
     return np.c_[linear, target.mean(0) - linear @ points.mean(0)]
 
 
+def robust_transform(points: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """The similarity that two of the points fix and that has the least median of squared
+    distances over all, fitted again to the points near it; one bad point does not bend it.
+    """
+    points, target = np.asarray(points, float), np.asarray(target, float)
+    best, least = None, np.inf
+    for i in range(len(points)):
+        for j in range(i):
+            matrix = similarity_transform(points[[i, j]], target[[i, j]])
+            if matrix is not None:
+                miss = (((points @ matrix[:, :2].T + matrix[:, 2]) - target) ** 2).sum(1)
+                if (middle := float(np.median(miss))) < least - 1e-12:
+                    best, least = miss, middle
+    if best is None:
+        return None
+    spread = 2.5 * 1.4826 * (1 + 5 / max(1, len(points) - 2)) * np.sqrt(least)
+    near = best <= max(spread**2, 1e-9)
+    return similarity_transform(points[near], target[near]) if near.sum() >= 2 else None
+
+
 def align(image: np.ndarray, landmarks: np.ndarray, size: int = 112) -> np.ndarray | None:
     """The face warped to the template, black outside the image; None if degenerate."""
-    matrix = similarity_transform(landmarks, np.array(TEMPLATE))
+    matrix = robust_transform(landmarks, np.array(TEMPLATE))
     if matrix is None or abs(np.linalg.det(matrix[:, :2])) < 1e-12:
         return None
     back = np.linalg.inv(matrix[:, :2])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass, replace
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.vectors import valid_embedding
 from galena.operators import ivf
-from galena.operators.quantizer import Quantizer, fit_quantizer
+from galena.operators.quantizer import FIT_THRESHOLD, Quantizer, fit_quantizer
 from galena.operators.search import above_threshold, binary_topk, exact_topk, shortlist_size, two_phase_topk
 
 
@@ -25,6 +26,17 @@ def checked(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), path.alias("path"), vector.alias("embedding"))
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """``id, n`` of ids that occur more than once, which a gallery must not have."""
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _unique(rows: DataFrame) -> DataFrame:
+    if not (again := repeated_ids(rows)).isEmpty():
+        raise ValueError(f"id {again.first()['id']} occurs more than once")
+    return rows
+
+
 def names(gallery: DataFrame) -> DataFrame:
     return gallery.select("label").distinct().orderBy("label")
 
@@ -76,7 +88,7 @@ class Gallery:
         codes until rows are appended."""
         if n_bits < 1 or n_bits % 8:
             raise ValueError("n_bits must be a positive multiple of 8")
-        good = checked(rows, dim)
+        good = _unique(checked(rows, dim))
         if quantizer is None and not good.isEmpty():
             quantizer = fit_quantizer(good, n_bits)
         return cls(quantizer.encode(good) if quantizer else good, dim, n_bits, quantizer)
@@ -86,14 +98,31 @@ class Gallery:
         return self.rows.sparkSession
 
     def append(self, rows: DataFrame) -> Gallery:
-        """Encode new rows with the frozen quantizer; existing codes stay as they are."""
+        """Add rows whose ids are new.
+
+        A fitted quantizer is frozen, and codes stay as they are. A gallery that began too
+        small for a fit is fitted and encoded anew as soon as it is large enough; its clusters
+        are kept, as they do not depend on codes.
+        """
+        plain = self.rows.select("id", "label", "path", "embedding")
+        every = _unique(plain.unionByName(checked(rows, self.dim)))
         if self.quantizer is None:
-            return Gallery.create(self.rows.select("id", "label", "path", "embedding").unionByName(checked(rows, self.dim)), self.dim, self.n_bits)
+            return Gallery.create(every, self.dim, self.n_bits)
+        if self.quantizer.kind == "random" and not every.select("id").offset(FIT_THRESHOLD - 1).limit(1).isEmpty():
+            fitted = fit_quantizer(every, self.n_bits)
+            coded = fitted.encode(every)
+            return replace(self, rows=coded if self.centroids is None else ivf.assign_clusters(coded, self.centroids), quantizer=fitted)
         new = self.quantizer.encode(checked(rows, self.dim))
         if self.centroids is not None:
             new = ivf.assign_clusters(new, self.centroids)
         return replace(self, rows=self.rows.unionByName(new))
 
+    def add(self, label: str, embedding, path: str = "") -> Gallery:
+        """One more row, with the next free id."""
+        last = self.rows.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
+        row = [(last + 1, label, path, [float(x) for x in embedding])]
+        return self.append(self.spark.createDataFrame(row, "id long, label string, path string, embedding array<float>"))
+
     def remove(self, label: str) -> tuple[Gallery, int]:
         """The gallery without a label, and how many rows went. Clusters are dropped with
         them, the quantizer is kept."""
@@ -145,7 +174,10 @@ class Gallery:
     def save(self, path: str) -> None:
         """Write a whole new version under ``path``, then point to it and delete the others.
 
-        Readers see either version in full. Removed rows leave no file behind.
+        The pointer is a new file each time, renamed into place, and the one of the largest
+        number counts, so a reader that starts at any moment, or after a crash, finds a whole
+        version. Removed rows leave no file behind. What the gallery reads from ``path`` must
+        be opened again, as its files are gone.
         """
         version = f"v-{uuid.uuid4().hex}"
         writer = self.rows.write
@@ -159,14 +191,29 @@ class Gallery:
             self.spark.createDataFrame(table, "cluster_id int, centroid array<double>").coalesce(1).write.parquet(f"{path}/{version}/centroids")
         meta = {"version": version, "dim": self.dim, "n_bits": self.n_bits, "fitted": self.quantizer is not None, "clustered": self.centroids is not None}
         files = _Files(self.spark, path)
-        files.replace("meta.json", json.dumps(meta))
+        number = max(files.pointers(), default=0) + 1
+        files.create(f"meta-{number:012d}.json", json.dumps(meta))
+        for old in files.pointers():
+            if old < number:
+                files.delete(f"meta-{old:012d}.json")
         for name in files.folders():
             if name != version:
                 files.delete(name)
 
+    @classmethod
+    def open_or_create(cls, spark: SparkSession, path: str, dim: int, n_bits: int = 512) -> Gallery:
+        """The gallery stored in ``path``, or an empty one if there is none."""
+        try:
+            return cls.open(spark, path)
+        except FileNotFoundError:
+            return cls.create(spark.createDataFrame([], "id long, label string, path string, embedding array<float>"), dim, n_bits)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Gallery:
-        meta = json.loads(_Files(spark, path).read("meta.json"))
+        files = _Files(spark, path)
+        if not (numbers := files.pointers()):
+            raise FileNotFoundError(f"no gallery in {path}")
+        meta = json.loads(files.read(f"meta-{max(numbers):012d}.json"))
         base = f"{path}/{meta['version']}"
         quantizer = Quantizer.load(spark, f"{base}/quantizer") if meta["fitted"] else None
         centroids = None
@@ -186,12 +233,20 @@ class _Files:
     def _at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
 
-    def replace(self, name: str, text: str) -> None:
+    def create(self, name: str, text: str) -> None:
+        """A file that appears with its whole content."""
         out = self.fs.create(self._at(f"{name}.new"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self._at(name), False)
-        self.fs.rename(self._at(f"{name}.new"), self._at(name))
+        if not self.fs.rename(self._at(f"{name}.new"), self._at(name)):
+            raise OSError(f"{name} was written by another process")
+
+    def pointers(self) -> list[int]:
+        """Numbers of the pointer files."""
+        if not self.fs.exists(self.root):
+            return []
+        found = (re.fullmatch(r"meta-(\d+)\.json", s.getPath().getName()) for s in self.fs.listStatus(self.root))
+        return [int(m[1]) for m in found if m]
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self._at(name))

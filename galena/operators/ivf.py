@@ -115,8 +115,6 @@ def probe_sweep(queries: DataFrame, gallery: DataFrame, centroids: np.ndarray, t
     return at.crossJoin(F.broadcast(wanted)).groupBy("n_probe").agg(F.avg((F.col("probe") <= F.col("n_probe")).cast("double")).alias("recall"))
 
 
-def largest_share(gallery: DataFrame) -> DataFrame:
-    """How uneven the buckets are: rows of the largest one, and its share."""
-    total = Window.partitionBy()
-    sizes = cluster_sizes(gallery)
-    return sizes.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(total)).orderBy(F.desc("n_rows"), "cluster_id").limit(1)
+def as_dict(centroids: np.ndarray, n_probe: int = 8) -> dict[str, int]:
+    """What describes an index beside its arrays."""
+    return {"n_clusters": len(centroids), "n_probe": n_probe}

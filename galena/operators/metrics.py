@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -137,10 +139,6 @@ def _thresholds(spark: SparkSession, values) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "step int, threshold double"))
 
 
-def _mean(condition: Column, of: Column) -> Column:
-    return F.avg(F.when(of, condition.cast("double")))
-
-
 def far_frr(pairs: DataFrame, thresholds=FAR_THRESHOLDS) -> DataFrame:
     """``threshold, far, frr`` of pairs ``same, similarity``.
 
@@ -276,3 +274,90 @@ def tiled(gallery: DataFrame, rows: int) -> DataFrame:
     last = repeated.where(F.col("copy") == copies - 1).orderBy("id").limit(rows - n * (copies - 1))
     whole = repeated.where(F.col("copy") < copies - 1)
     return whole.unionByName(last)
+
+
+def latency_stats(timings: DataFrame, column: str = "ms") -> DataFrame:
+    """``n, mean, median, p95, p99, per_second`` of latencies in milliseconds; percentiles are
+    interpolated between neighbours."""
+    at = lambda q: F.percentile(column, F.lit(q))
+    return timings.agg(
+        F.count(column).alias("n"),
+        F.round(F.avg(column), 4).alias("mean"),
+        F.round(at(0.5), 4).alias("median"),
+        F.round(at(0.95), 4).alias("p95"),
+        F.round(at(0.99), 4).alias("p99"),
+        F.round(1000 / F.avg(column), 4).alias("per_second"),
+    )
+
+
+class Stages:
+    """Seconds of named stages, by a context manager."""
+
+    def __init__(self, clock=None):
+        import time
+
+        self.clock, self.seconds = clock or time.perf_counter, {}
+
+    @contextmanager
+    def __call__(self, name: str):
+        began = self.clock()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + self.clock() - began
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """``stage, seconds, share`` in the order of first use."""
+        total = sum(self.seconds.values()) or 1.0
+        return spark.createDataFrame([(n, s, s / total) for n, s in self.seconds.items()], "stage string, seconds double, share double")
+
+
+def split(gallery: DataFrame, share: float = 0.1, seed: int = 42, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and database, by a hash of ``group`` (or of ``id``), so that a split does not
+    depend on partitions, and rows of one group, such as copies of a vector, stay together."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group or "id").cast("string"))), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+    return gallery.where(drawn), gallery.where(~drawn)
+
+
+def bits_grid(queries: DataFrame, gallery: DataFrame, truth: DataFrame, bits: list[int], candidates: list[int], quantizer_of=None) -> DataFrame:
+    """``n_bits, candidates, recall`` for every code length and shortlist size.
+
+    ``truth``: ``query_id, id`` of the right neighbour. One ranking by codes answers all
+    shortlist sizes of a code length.
+    """
+    from galena.operators.quantizer import fit_quantizer
+    from galena.operators.search import binary_topk
+
+    out = None
+    for n in bits:
+        quantizer = quantizer_of(n) if quantizer_of else fit_quantizer(gallery, n)
+        ranked = binary_topk(quantizer.encode(queries), quantizer.encode(gallery), quantizer.words, max(candidates))
+        swept = candidate_sweep(ranked, truth, candidates).withColumn("n_bits", F.lit(n))
+        out = swept if out is None else out.unionByName(swept)
+    return out
+
+
+def same_codes(queries: DataFrame, gallery: DataFrame, quantizer, truth: DataFrame, k: int = 1, n_candidates: int | None = None) -> DataFrame:
+    """``rerank, recall``: one table of codes searched with and without the exact stage, which
+    tells what is lost by the codes from what is lost by the search."""
+    from galena.operators.search import binary_topk, two_phase_topk
+
+    coded = quantizer.encode(gallery)
+    flat = recall_at_k(binary_topk(quantizer.encode(queries), coded, quantizer.words, k), truth, k).withColumn("rerank", F.lit(False))
+    both = recall_at_k(two_phase_topk(queries, coded, quantizer, k, n_candidates), truth, k).withColumn("rerank", F.lit(True))
+    return flat.unionByName(both)
+
+
+def ratios(results: DataFrame, baseline: str, method: str = "method") -> DataFrame:
+    """Each method's speed and memory against the baseline's: ``speed_up`` of ``per_second``
+    and ``compression`` of ``memory_mb``."""
+    base = results.where(F.col(method) == baseline).select(F.col("per_second").alias("base_speed"), F.col("memory_mb").alias("base_memory")).limit(1)
+    out = results.join(F.broadcast(base), how="left")
+    return out.withColumn("speed_up", F.round(F.col("per_second") / F.col("base_speed"), 2)).withColumn("compression", F.round(F.col("base_memory") / F.col("memory_mb"), 2)).drop("base_speed", "base_memory")
+
+
+def chart_rows(results: DataFrame, methods: list[str], least_recall: float = 0.85, method: str = "method") -> DataFrame:
+    """What a chart of ``methods`` shows: rows of enough recall by memory, with the logarithms
+    of memory and speed."""
+    kept = results.where(F.col(method).isin(methods) & (F.col("recall") >= least_recall))
+    return kept.withColumn("log_memory", F.round(F.log10("memory_mb"), 6)).withColumn("log_speed", F.round(F.log10("per_second"), 6)).orderBy("memory_mb", method)

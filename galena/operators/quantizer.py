@@ -68,6 +68,15 @@ class Quantizer:
 
         return gallery.mapInArrow(run, schema)
 
+    def search(self, queries: DataFrame, gallery: DataFrame, k: int = 1, n_candidates: int = 50) -> DataFrame:
+        """Shortlist by codes, which ``gallery`` must have, then exact order. Unlike a
+        gallery's own search, the shortlist does not grow with ``k``."""
+        from galena.operators.search import two_phase_topk
+
+        if missing := [w for w in self.words if w not in gallery.columns]:
+            raise ValueError(f"encode the gallery first: it has no {', '.join(missing)}")
+        return two_phase_topk(queries, gallery, self, k, max(k, n_candidates))
+
     def packed(self, frame: DataFrame) -> DataFrame:
         """Replace the words by a binary column ``code`` of n_bits / 8 bytes."""
         code = F.substring(F.concat(*(F.unhex(F.lpad(F.hex(w), 16, "0")) for w in self.words)), 1, -(-self.n_bits // 8))

@@ -335,7 +335,7 @@ def bootstrap_recall(spark, sf_dir):
     quantizer, g = coded(gallery_of(spark, sf_dir))
     ranks = search.hamming_topk(quantizer.encode(queries_of(g)), g, quantizer.words, 50)
     hit = _truth(g).join(ranks.select("query_id", "id", F.lit(1.0).alias("hit")), ["query_id", "id"], "left").fillna(0.0, ["hit"])
-    return metrics.bootstrap_ci(hit, "hit", rounds=200)
+    return metrics.bootstrap_ci(hit, "hit", rounds=2_000)
 
 
 @query
@@ -539,3 +539,65 @@ def person_folders(spark, sf_dir):
     p = paths_of(spark, sf_dir).withColumnRenamed("page_id", "id")
     people = p.select("id", files.name_from_path(F.col("path"), "/data").alias("person"))
     return apps.person_folders(p, people, "/out")
+
+
+def methods_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of methods, derived from the suppliers."""
+    t = table(spark, sf_dir, "supplier")
+    return t.select(
+        F.concat(F.lit("m"), (F.col("s_suppkey") % 7).cast("string")).alias("method"),
+        (F.col("s_suppkey") % 20 / 20.0).alias("recall"),
+        (F.col("s_suppkey") % 13 + 1.0).alias("memory_mb"),
+        (F.col("s_suppkey") % 17 + 1.0).alias("per_second"),
+    ).distinct()
+
+
+@query
+def latency_stats(spark, sf_dir):
+    return metrics.latency_stats(table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97 + 1.0).alias("ms")))
+
+
+@query
+def hash_split(spark, sf_dir):
+    queries, database = metrics.split(gallery_of(spark, sf_dir), 0.2, group="label")
+    return queries.select("id", F.lit("query").alias("part")).unionByName(database.select("id", F.lit("database").alias("part")))
+
+
+@query
+def chart_rows(spark, sf_dir):
+    return metrics.chart_rows(methods_of(spark, sf_dir), ["m1", "m2", "m3", "m5"])
+
+
+@query
+def speed_ratios(spark, sf_dir):
+    firsts = methods_of(spark, sf_dir).groupBy("method").agg(F.max("per_second").alias("per_second"), F.min("memory_mb").alias("memory_mb"))
+    return metrics.ratios(firsts, "m0")
+
+
+@query
+def analyzed_faces(spark, sf_dir):
+    from galena.sources.faces import attributes_of
+
+    rows = gallery_of(spark, sf_dir).select("id", F.array(F.element_at("embedding", 1).cast("double"), F.abs(F.element_at("embedding", 2).cast("double")) * 100).alias("person"), F.slice("embedding", 3, 8).alias("mood"))
+    told = rows.select("id", attributes_of(attributes.age_gender("person"), attributes.emotion("mood")).alias("a"))
+    return told.select("id", F.col("a.age").cast("long").alias("age"), "a.gender", "a.emotion")
+
+
+@query
+def repeated_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("id"))
+    return galleries.repeated_ids(rows)
+
+
+@query
+def decoded_points(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.lit(8).alias("stride"), (F.col("vec_id") % 12800).alias("anchor"), F.lit(0.9).alias("score"), *(F.lit(1.0).alias(c) for c in ("left", "top", "right", "bottom")), F.lit(0.5).alias("scale"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("points"))
+    return detections.decode_anchors(rows).select("image", F.posexplode("points").alias("k", "at")).select("image", F.col("k").cast("long").alias("k"), F.round("at", 6).alias("at"))
+
+
+@query
+def limited_identities(spark, sf_dir):
+    from galena.sources.records import limited_identities as limited
+
+    images = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), F.lpad((F.col("o_custkey") % 50).cast("string"), 3, "0")).alias("identity"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("path"))
+    return limited(images, 5, 120).select("identity", "path", F.col("label").cast("long").alias("label"))

@@ -80,6 +80,8 @@ DUPLICATES = f"""dup AS (
   SELECT least(query_id, id) AS id_a, greatest(query_id, id) AS id_b, max(round(s, 4)) AS confidence, max(s) AS s
   FROM allp WHERE rank <= 5 AND query_id <> id GROUP BY 1, 2)"""
 
+METHODS = """methods AS (SELECT DISTINCT 'm' || s_suppkey % 7 AS method, (s_suppkey % 20) / 20.0::DOUBLE AS recall, s_suppkey % 13 + 1.0::DOUBLE AS memory_mb, s_suppkey % 17 + 1.0::DOUBLE AS per_second FROM supplier)"""
+
 ORACLE_SQL: dict[str, str] = {
     "exact_topk": f"WITH {G}, {ALL} SELECT query_id, rank, id, label, round(s, 4) AS similarity FROM allp WHERE rank <= 3",
     "exact_topk_threshold": f"WITH {G}, {ALL} SELECT query_id, id, label, round(s, 4) AS confidence FROM allp WHERE rank <= 5 AND s >= 0.3",
@@ -182,4 +184,19 @@ ORACLE_SQL: dict[str, str] = {
     "format_hms": "SELECT event_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS time FROM (SELECT event_id, floor(event_id * 37 / 25.0::DOUBLE)::BIGINT AS s FROM events)",
     "duplicates_json": f"""WITH {G}, {ALL}, {DUPLICATES} SELECT '{{"id_a":' || id_a || ',"id_b":' || id_b || '}}' AS value FROM dup WHERE s >= 0.4""",
     "person_folders": f"WITH {PATHS} SELECT path AS src, '/out/' || name || '/' || regexp_extract(path, '[^/]+$') AS dst FROM paths",
+    "latency_stats": """WITH t AS (SELECT o_orderkey % 97 + 1.0::DOUBLE AS ms FROM orders)
+      SELECT count(ms) AS n, round(avg(ms), 4) AS mean, round(quantile_cont(ms, 0.5), 4) AS median, round(quantile_cont(ms, 0.95), 4) AS p95, round(quantile_cont(ms, 0.99), 4) AS p99, round(1000 / avg(ms), 4) AS per_second FROM t""",
+    "hash_split": "SELECT vec_id AS id, CASE WHEN substr(md5('42:' || label), 1, 8) < '33333333' THEN 'query' ELSE 'database' END AS part FROM embeddings",
+    "chart_rows": f"""WITH {METHODS} SELECT method, recall, memory_mb, per_second, round(log10(memory_mb), 6) AS log_memory, round(log10(per_second), 6) AS log_speed FROM methods
+      WHERE method IN ('m1', 'm2', 'm3', 'm5') AND recall >= 0.85""",
+    "speed_ratios": f"""WITH {METHODS}, f AS (SELECT method, max(per_second) AS per_second, min(memory_mb) AS memory_mb FROM methods GROUP BY 1), b AS (SELECT * FROM f WHERE method = 'm0')
+      SELECT f.method, f.per_second, f.memory_mb, round(f.per_second / b.per_second, 2) AS speed_up, round(b.memory_mb / f.memory_mb, 2) AS compression FROM f LEFT JOIN b ON true""",
+    "analyzed_faces": """SELECT vec_id AS id, floor(least(100, abs(embedding[2]::DOUBLE) * 100))::BIGINT AS age, CASE WHEN embedding[1] > 0 THEN 'F' ELSE 'M' END AS gender,
+        (['neutral', 'happy', 'surprise', 'sad', 'angry', 'disgust', 'fear', 'contempt'])[list_position(embedding[3:10], list_max(embedding[3:10]))] AS emotion FROM embeddings""",
+    "repeated_ids": "SELECT o_custkey % 500 AS id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1",
+    "decoded_points": """WITH a AS (SELECT vec_id AS image, vec_id % 12800 // 2 AS cell, embedding FROM embeddings), k AS (SELECT *, unnest(range(10)) AS k FROM a)
+      SELECT image, k, round((CASE WHEN k % 2 = 0 THEN cell % 80 * 8 ELSE cell // 80 * 8 END + embedding[k + 1]::DOUBLE * 8) / 0.5, 6) AS at FROM k""",
+    "limited_identities": """WITH i AS (SELECT 'p' || lpad((o_custkey % 50)::VARCHAR, 3, '0') AS identity, lpad(o_orderkey::VARCHAR, 12, '0') AS path FROM orders),
+      c AS (SELECT *, dense_rank() OVER (ORDER BY identity) - 1 AS label FROM i QUALIFY row_number() OVER (PARTITION BY identity ORDER BY path) <= 5)
+      SELECT identity, path, label FROM c ORDER BY label, path LIMIT 120""",
 }
