@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from galena.llm._common import checkpointed, numbered
 
-#: Ranges per shard; a range is about 1 / (shards * RANGES) of all bytes.
-RANGES = 64
+#: Ranges per shard, at least and at most, and bytes that a range has between them. A task
+#: sorts a range, and the driver packs them.
+RANGES, MOST_RANGES, RANGE_BYTES = 64, 8192, 256 << 20
 #: Keys sampled per range on average. It bounds what the driver sorts.
 SAMPLES = 32
 #: A range of more than this many times its share is subdivided.
 OVERFULL = 3
-#: Times that overfull ranges are subdivided at most; a row is never cut.
-ROUNDS = 4
+#: Times that overfull ranges are subdivided at most; a row is never cut. Each time divides a
+#: range by its share of a sample of its own, so sizes fall fast; that many rounds without an
+#: end would be an error of the sample.
+ROUNDS = 20
 
 
 def weighted_splitters(keys: np.ndarray, subs: np.ndarray, weights: np.ndarray, parts: int) -> list[tuple[int, int]]:
@@ -100,13 +103,18 @@ def pack_ranges(sizes: list[tuple[int, int, int]], groups: dict[int, int], shard
     return out
 
 
-def shard_by_splitters(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = RANGES, seed: int = 7) -> DataFrame:
+def ranges_for(total: int, shards: int) -> int:
+    return min(MOST_RANGES, max(RANGES, -(-total // (shards * RANGE_BYTES))))
+
+
+def shard_by_splitters(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None, seed: int = 7) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are near equal.
 
     Rows are ordered by ``(key, sub)``: a hash of the text and one of the row. A size-weighted
     sample of keys gives quantile boundaries; ranges that turn out overfull are subdivided by
     a sample of their own rows; the ranges' true sizes, a few thousand numbers, are packed
-    into shards on the driver. Equal texts share a key and thus a shard, except where one
+    into shards on the driver. There are more ranges the more bytes there are, up to
+    ``MOST_RANGES`` a shard. Equal texts share a key and thus a shard, except where one
     group exceeds half a shard: then its ranges are dealt out.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, one row per input
@@ -125,14 +133,16 @@ def shard_by_splitters(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     )
     rows = checkpointed(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = shards * ranges_per_shard
+    parts = shards * (ranges_per_shard or ranges_for(total, shards))
     splitters = whole_keys(weighted_splitters(*_sample(rows, max(1.0, total / (parts * SAMPLES)), seed), parts))
     for turn in range(ROUNDS):
         dealt = rows.mapInArrow(_range_of(splitters), f"{', '.join(f'{n} {t}' for n, t in rows.dtypes)}, range long")
         sizes = [tuple(r) for r in dealt.groupBy("range").agg(F.sum("size"), F.count(F.lit(1)), F.min("key"), F.max("key"), F.max("size")).collect()]
         over = {r: b for r, b, n, _, _, largest in sizes if n > 1 and b > OVERFULL * total / parts and b > 2 * largest}
-        if not over or turn == ROUNDS - 1:
+        if not over:
             break
+        if turn == ROUNDS - 1:
+            raise RuntimeError("overfull ranges were not subdivided")
         inner = dealt.where(F.col("range").isin(list(over)))
         keys, subs, weights = _sample(inner, max(1.0, total / (parts * SAMPLES)), seed + turn + 1)
         more = weighted_splitters(keys, subs, weights, int(sum(over.values()) * parts / total) + 2)

@@ -23,7 +23,7 @@ from galena.llm.interpolation import interpolated_scores
 from galena.llm.near_dedup import near_dedup, sketch
 from galena.llm.queries import RANK_FILE, WORD_FILE
 from galena.llm.repeated_spans import repeated_spans
-from galena.llm.sharding import pack_ranges, shard_by_splitters, weighted_splitters, whole_keys
+from galena.llm.sharding import pack_ranges, ranges_for, shard_by_splitters, weighted_splitters, whole_keys
 from galena.llm.toxicity import fit_toxicity, score_toxicity
 
 OPERATORS = {
@@ -202,6 +202,36 @@ def test_shards_are_even_around_a_hot_group(spark, tmp_path):
     assert (cool == 1).all()
 
 
+def test_ranges_grow_with_the_bytes():
+    assert [ranges_for(n, 8) for n in (0, 1 << 30, 1 << 40, 1 << 47)] == [64, 64, 512, 8192]
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    """Ranges are runs of hash order, each in one shard, and slots follow that order."""
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.randint(0, 60) + str(i // 3)) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    hashed = {r[0]: r[1] for r in docs.select("doc_id", F.xxhash64("text")).collect()}
+    got = shard_by_splitters(docs, shards=4, ranges_per_shard=8).collect()
+    by_key = sorted(got, key=lambda r: hashed[r["doc_id"]])
+    switches = sum(a["shard"] != b["shard"] for a, b in zip(by_key, by_key[1:], strict=False))
+    assert 3 <= switches < 200
+    for shard in range(4):
+        own = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        keys = [hashed[r["doc_id"]] for r in own]
+        assert keys == sorted(keys)
+    texts = dict(rows)
+    homes = collections.defaultdict(set)
+    for r in got:
+        homes[texts[r["doc_id"]]].add(r["shard"])
+        assert r["size"] == len(texts[r["doc_id"]]) + 1
+    assert all(len(h) == 1 for h in homes.values())
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
+    assert max(sizes) < 1.1 * min(sizes)
+
+
 def test_splitters():
     keys = np.repeat(np.arange(10), 100)
     cuts = weighted_splitters(keys, np.arange(1000), np.ones(1000), 10)
