@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,17 @@ def ranked(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return hits.withColumn("rank", at).where(F.col("rank") <= k)
 
 
+def one_block(queries: DataFrame, columns: list[str], block: int) -> pa.Table | None:
+    """The queries as one table for the driver, or None if there are more than ``block``."""
+    rows = queries.select("query_id", *columns)
+    return rows.toArrow() if rows.limit(block + 1).count() <= block else None
+
+
 def query_blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[pa.Table]:
     """Queries in blocks of bounded size, one block on the driver at a time."""
     rows = queries.select("query_id", *columns)
-    if rows.limit(block + 1).count() <= block:
-        yield rows.toArrow()
+    if (table := one_block(queries, columns, block)) is not None:
+        yield table
         return
     parts = -(-rows.count() // (block * 3 // 4))
     numbered = rows.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
@@ -54,46 +61,105 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], scores[at]))][:k]
 
 
-def _scan(gallery: DataFrame, table: pa.Table, columns: list[str], k: int, distances) -> DataFrame:
-    """Per partition, the ``k`` rows of least distance for every query of a block."""
-    query_ids = table.column("query_id").to_numpy()
+class _Nearest:
+    """The ``k`` rows of least distance for each of ``n`` queries, ties by id.
+
+    Candidates gather until there are as many as results, then all are ordered at once; a
+    query's worst result bounds what is gathered next.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.worst, self.new = n, k, np.full(n, np.inf), []
+        self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+    def add(self, distance: np.ndarray, ids: np.ndarray) -> None:
+        limit = self.worst
+        if distance.shape[1] > self.k and np.isinf(limit).any():
+            limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero(distance <= limit[:, None])
+        if len(row):
+            self.new.append((row, distance[row, column], ids[column]))
+            if np.isinf(self.worst).any() or sum(len(r) for r, _, _ in self.new) > self.n * self.k:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, value, ids = (np.concatenate(x) for x in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((ids, value, row))
+        row, value, ids = row[order], value[order], ids[order]
+        many = np.bincount(row, minlength=self.n)
+        near = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) < self.k
+        self.kept, self.new = (row[near], value[near], ids[near]), []
+        many = np.minimum(many, self.k)
+        full = np.flatnonzero(many == self.k)
+        self.worst[full] = self.kept[1][(np.cumsum(many) - 1)[full]]
+        return self.kept
+
+
+#: Gallery rows that are compared with a block of queries at once.
+SCAN_ROWS = 1024
+HITS = "query_id long, id long, distance double"
+
+
+def _nearest(query_ids: np.ndarray, parts, k: int) -> pa.RecordBatch:
+    """``parts``: ids and a matrix of distances (a row for each query) at a time."""
+    best = _Nearest(len(query_ids), k)
+    for ids, distance in parts:
+        best.add(distance, ids)
+    row, value, ids = best.settle()
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[row], pa.int64()), "id": pa.array(ids, pa.int64()), "distance": pa.array(value, pa.float64())})
+
+
+def _pieces(batches):
+    for batch in batches:
+        for start in range(0, len(batch), SCAN_ROWS):
+            yield batch.slice(start, SCAN_ROWS)
+
+
+def _scan(queries: DataFrame, gallery: DataFrame, columns: list[str], k: int, block: int, read, distances) -> DataFrame:
+    """Rows ``query_id, id, distance`` that hold the ``k`` nearest of every query.
+
+    ``read`` makes an array of a table's ``columns``, ``distances`` a matrix of two such. One
+    block of queries goes to every partition of the gallery. More queries stay distributed:
+    blocks of them meet blocks of the gallery, each pair of blocks in a task of its own.
+    """
+    if (table := one_block(queries, columns, block)) is not None:
+        query_ids, wanted = table.column("query_id").to_numpy(), read(table)
+
+        def run(batches):
+            yield _nearest(query_ids, ((p.column("id").to_numpy(zero_copy_only=False), distances(wanted, read(p))) for p in _pieces(batches)), k)
+
+        return gallery.select("id", *columns).mapInArrow(run, HITS)
+
+    def blocks(rows: DataFrame, name: str, n: int) -> DataFrame:
+        return rows.select(F.col(name).cast("long").alias("id"), *columns, F.pmod(F.xxhash64(name), F.lit(n)).cast("int").alias("part"))
+
+    sizes = [max(1, -(-rows.count() // block)) for rows in (queries, gallery)]
+    asked, searched = blocks(queries, "query_id", sizes[0]), blocks(gallery, "id", sizes[1])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = asked.withColumn("i", F.col("part")).withColumn("j", every(sizes[1])).withColumn("asked", F.lit(True)).unionByName(searched.withColumn("i", every(sizes[0])).withColumn("j", F.col("part")).withColumn("asked", F.lit(False)))
 
-    def run(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for q, row in enumerate(distances(batch)):
-                near = _best(row, ids, k)
-                value, found = np.r_[best[q][0], row[near]], np.r_[best[q][1], ids[near]]
-                keep = _best(value, found, k)
-                best[q] = (value[keep], found[keep])
-        sizes = [len(v) for v, _ in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(query_ids, sizes), pa.int64()), "id": pa.array(np.concatenate([i for _, i in best]), pa.int64()), "distance": pa.array(np.concatenate([v for v, _ in best]), pa.float64())})
+    def meet(_, table):
+        own = table.filter(table.column("asked"))
+        other = table.filter(pc.invert(table.column("asked")))
+        parts = ((p.column("id").to_numpy(), distances(wanted, read(p))) for p in _pieces([other])) if len(own) else ()
+        wanted = read(own) if len(own) else None
+        return pa.Table.from_batches([_nearest(own.column("id").to_numpy(), parts, k)])
 
-    return gallery.select("id", *columns).mapInArrow(run, "query_id long, id long, distance double")
+    return sent.drop("part").groupBy("i", "j").applyInArrow(meet, HITS)
 
 
 def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, id, label, similarity``: the ``k`` largest inner products.
 
     ``queries`` has ``query_id, embedding``; ``gallery`` has ``id, label, embedding``. Order
-    is by similarity, then id. Blocks of queries meet every partition of the gallery in one
-    matrix product; only ``k`` rows a query and partition are shuffled.
+    is by similarity, then id. A block of queries meets every partition of the gallery in
+    matrix products; only ``k`` rows a query and partition are shuffled. More queries than a
+    block are not gathered: see ``_scan``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    out = None
-    for table in query_blocks(queries, ["embedding"], query_block):
-        wanted = vectors_of(table.column("embedding")).astype(np.float64)
-
-        def distances(batch, wanted=wanted):
-            return -(wanted @ vectors_of(batch.column("embedding")).astype(np.float64).T)
-
-        hits = _scan(gallery, table, ["embedding"], k, distances)
-        out = hits if out is None else out.unionByName(hits)
+    read = lambda table: vectors_of(table.column("embedding")).astype(np.float64)
+    out = _scan(queries, gallery, ["embedding"], k, query_block, read, lambda wanted, there: -(wanted @ there.T))
     top = ranked(out, k, F.asc("distance"), F.asc("id"))
     return top.join(gallery.select("id", "label"), "id").select("query_id", "rank", "id", "label", (-F.col("distance")).alias("similarity"))
 
@@ -105,17 +171,17 @@ def hamming_topk(queries: DataFrame, gallery: DataFrame, words: list[str], k: in
     """
     if k < 1:
         return gallery.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).cast("long").alias("hamming")).limit(0)
-    out = None
-    for table in query_blocks(queries, words, query_block):
-        wanted = np.stack([table.column(w).to_numpy() for w in words], 1)
 
-        def distances(batch, wanted=wanted):
-            codes = np.stack([batch.column(w).to_numpy(zero_copy_only=False) for w in words], 1)
-            for own in wanted:
-                yield np.bitwise_count((codes ^ own).view(np.uint64)).sum(1).astype(np.float64)
+    def read(table):
+        return [np.asarray(table.column(w)).astype(np.int64) for w in words]
+
+    def distances(wanted, there):
+        total = np.zeros((len(wanted[0]), len(there[0])), np.uint16)
+        for own, other in zip(wanted, there, strict=True):
+            total += np.bitwise_count((own[:, None] ^ other[None, :]).view(np.uint64))
+        return total.astype(np.float32)
 
-        hits = _scan(gallery, table, words, k, distances)
-        out = hits if out is None else out.unionByName(hits)
+    out = _scan(queries, gallery, words, k, query_block, read, distances)
     return ranked(out, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", F.col("distance").cast("long").alias("hamming"))
 
 

@@ -154,3 +154,18 @@ def test_thresholds(spark, small):
     pairs = spark.createDataFrame([(0, 0), (0, 1)], "a long, b long")
     got = {r["b"]: r["match"] for r in search.verify(pairs, small).collect()}
     assert got == {0: True, 1: bool(unit(120)[0] @ unit(120)[1] > 0.4)}
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_many_queries_stay_distributed(spark, block):
+    """Blocks of queries and gallery find what one block does, ties by id."""
+    x = np.round(unit(90, 3) * 2) / 2
+    g = frame(spark, x)
+    asked = g.select((F.col("id") * 2).alias("query_id"), "embedding")
+    scores = x @ x.T
+    for k in (1, 4, 200):
+        got = {}
+        for r in search.exact_topk(asked, g, k, query_block=block).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+        want = {2 * q: [(n + 1, int(i)) for n, i in enumerate(np.lexsort((np.arange(90), -scores[q]))[:k])] for q in range(90)}
+        assert {q: sorted(v) for q, v in got.items()} == want
