@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +55,17 @@ def person_graph(pairs: DataFrame, gallery: DataFrame, rounds: int = 50) -> Data
     """``id, person_id``: least id reachable over ``id_a, id_b`` links. Not the greedy
     grouping: chains of links join whatever the order."""
     both = pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(pairs.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).persist()
-    label = gallery.select("id", F.col("id").alias("person_id"))
+    label, held = gallery.select("id", F.col("id").alias("person_id")), None
     for _ in range(rounds):
         offered = both.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("person_id").alias("offer"))
         new = label.join(offered, F.col("id") == F.col("x"), "left").select("id", F.least("person_id", F.coalesce("offer", "person_id")).alias("person_id"), (F.col("offer") < F.col("person_id")).alias("moved")).persist()
         moved = not new.where("moved").isEmpty()
         label = new.select("id", "person_id")
+        if held is not None:
+            held.unpersist()
+        held = new
         if not moved:
+            both.unpersist()
             return label
     raise RuntimeError("links did not settle")
 
@@ -69,22 +74,27 @@ def with_cooldown(events: DataFrame, key: str, ts: str, seconds: float, tie: str
     """Events that a greedy cooldown lets through: the first of a key, then each that comes
     more than ``seconds`` after the last one let through.
 
-    Not a window: a dropped event does not prolong the wait. A key's times are folded in
-    order within the key's own row, in native expressions.
+    Not a window: a dropped event does not prolong the wait. Keys are hashed to partitions and
+    sorted there by time; a task walks through its events batch by batch and remembers one
+    time. Events without a time are left out; those without a key share one.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     wait = int(seconds * 1_000_000)
-    order = [micros.alias("t"), *([F.col(tie).alias("e")] if tie else [])]
-    gathered = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
-    item = "struct<t:bigint" + (f",e:{dict(events.dtypes)[tie]}" if tie else "") + ">"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<{item}>").alias("kept"))
-
-    def step(state: Column, event: Column) -> Column:
-        passes = state["last"].isNull() | (event["t"] - state["last"] > wait)
-        return F.when(passes, F.struct(event["t"].alias("last"), F.concat(state["kept"], F.array(event)).alias("kept"))).otherwise(state)
-
-    kept = gathered.select(key, F.explode(F.aggregate("all", start, step, lambda s: s["kept"])).alias("k"))
-    return kept.select(key, *([F.col("k.e").alias(tie)] if tie else []), F.timestamp_micros("k.t").alias(ts))
+    columns = [F.col(key), *([F.col(tie)] if tie else []), F.col(ts).cast("timestamp").alias(ts)]
+    rows = events.select(*columns, F.unix_micros(F.col(ts).cast("timestamp")).alias("at_micros")).where("at_micros is not null")
+    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, "at_micros", *([tie] if tie else []))
+
+    def walk(batches):
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for own, t in zip(batch.column(key).to_pylist(), batch.column("at_micros").to_pylist(), strict=True):
+                passes = last is None or own != now or t - last > wait
+                keep.append(passes)
+                if passes:
+                    now, last = own, t
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(walk, ordered.schema).drop("at_micros")
 
 
 def attendance_log(arrivals: DataFrame) -> DataFrame:
