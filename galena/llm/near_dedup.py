@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm._common import TEXT_KEY, checkpointed, first_of_each, id_bitmap, mixed, numbered, small_batches, without_repeats
-from galena.llm._components import components
+from galena.operators.components import components
 from galena.llm._shingles import shingle_sets
 
 #: A pair at a Jaccard similarity of 0.75 shares a band of 4 coordinates with chance 0.316,

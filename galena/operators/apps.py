@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.operators.components import components
 from galena.operators.search import exact_topk
 
 
@@ -51,23 +52,11 @@ def organise_by_person(photos: DataFrame, threshold: float = 0.45, order: str =
     return kept.groupBy("whole").applyInPandas(run, "id long, person string")
 
 
-def person_graph(pairs: DataFrame, gallery: DataFrame, rounds: int = 50) -> DataFrame:
+def person_graph(pairs: DataFrame, gallery: DataFrame) -> DataFrame:
     """``id, person_id``: least id reachable over ``id_a, id_b`` links. Not the greedy
-    grouping: chains of links join whatever the order."""
-    both = pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(pairs.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))).persist()
-    label, held = gallery.select("id", F.col("id").alias("person_id")), None
-    for _ in range(rounds):
-        offered = both.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("person_id").alias("offer"))
-        new = label.join(offered, F.col("id") == F.col("x"), "left").select("id", F.least("person_id", F.coalesce("offer", "person_id")).alias("person_id"), (F.col("offer") < F.col("person_id")).alias("moved")).persist()
-        moved = not new.where("moved").isEmpty()
-        label = new.select("id", "person_id")
-        if held is not None:
-            held.unpersist()
-        held = new
-        if not moved:
-            both.unpersist()
-            return label
-    raise RuntimeError("links did not settle")
+    grouping: chains of links join whatever the order, and of any length."""
+    found = components(pairs.select(F.col("id_a").cast("long").alias("u"), F.col("id_b").cast("long").alias("v")))
+    return gallery.select("id").join(found, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("person_id"))
 
 
 def with_cooldown(events: DataFrame, key: str, ts: str, seconds: float, tie: str | None = None) -> DataFrame:

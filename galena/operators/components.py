@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._common import checkpointed
+from galena.functions.tables import checkpointed
 
 #: Alternations after which a graph that has not settled is an error. The number needed
 #: grows with the logarithm of the graph's diameter.

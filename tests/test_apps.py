@@ -68,6 +68,17 @@ def test_organise_is_greedy_in_path_order(spark):
     assert {r["id"]: r["person"] for r in got.collect()} == {1: "Person_001", 0: "Person_002", 2: "Person_001", 3: "Person_003"}
 
 
+def test_person_graph_joins_long_chains(spark):
+    """Chains of more links than a fixed number of rounds would follow, in mixed order of ids."""
+    order = np.random.default_rng(4).permutation(150).tolist()
+    links = [(min(p), max(p)) for p in zip(order, order[1:])] + [(200, 201), (201, 202), (200, 202)]
+    pairs = spark.createDataFrame(links, "id_a long, id_b long")
+    g = spark.range(210).repartition(3)
+    want = {i: 0 if i < 150 else 200 if 200 <= i <= 202 else i for i in range(210)}
+    assert {r["id"]: r["person_id"] for r in apps.person_graph(pairs, g).collect()} == want
+    assert {r["id"]: r["person_id"] for r in apps.person_graph(pairs.limit(0), g).collect()} == {i: i for i in range(210)}
+
+
 def test_suppression(spark):
     rng = np.random.default_rng(2)
     rows = []
