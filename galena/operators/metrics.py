@@ -18,6 +18,8 @@ FAR_THRESHOLDS = tuple(round(0.20 + 0.05 * i, 2) for i in range(11))
 EER_STEPS, FOLD_STEPS, FOLDS = 2001, 400, 10
 #: Rows that meet a block of rows at once; with 4,096 of these that makes a million pairs.
 PAIR_ROWS = 256
+#: Rows of a block whose pairs are counted in one task, and cells that are counted by place.
+COUNT_BLOCK, COUNT_CELLS = 8_192, 1 << 22
 
 
 def holdout(gallery: DataFrame, many: int = 4, many_out: int = 3, few_out: int = 1, cap: int | None = None) -> DataFrame:
@@ -135,12 +137,78 @@ def labelled_pairs(gallery: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     return out
 
 
+def pair_counts(gallery: DataFrame, decimals: int = 4, block: int = COUNT_BLOCK) -> DataFrame:
+    """``same, similarity, n``: all pairs of rows, counted by similarity to ``decimals``
+    (halves away from zero). A pair with a row of no label is neither kind and left out.
+
+    Two blocks of rows meet in a task, and each row is sent once for every block; only counts
+    leave a task, so the pairs themselves are nowhere stored.
+    """
+    rows = gallery.where("label is not null")
+    parts = max(1, -(-rows.count() // block))
+    own = rows.select(F.col("id").cast("long").alias("id"), "label", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sent = met.select("id", "label", "embedding", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    scale = float(10**decimals)
+
+    def meet(key, table):
+        i, j = (k.as_py() for k in key)
+        part, ids = table.column("part").to_numpy(), table.column("id").to_numpy()
+        labels = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1]
+        vectors = vectors_of(table.column("embedding")).astype(np.float64)
+        a, b = part == i, part == j
+        wanted, there, there_ids, there_labels = vectors[a], vectors[b].T, ids[b], labels[b]
+        # No inner product exceeds the product of the largest norms.
+        widest = [np.sqrt((v * v).sum(1).max(initial=0.0)) for v in (wanted, there.T)]
+        bound = widest[0] * widest[1] * scale + 2
+        placed = bool(bound * 4 < COUNT_CELLS)
+        bound = int(bound) if placed else 0
+        cells, found = np.zeros(2 * (2 * bound + 1), np.int64), []
+        for start in range(0, len(wanted), PAIR_ROWS):
+            piece = slice(start, start + PAIR_ROWS)
+            near = wanted[piece] @ there
+            near *= scale
+            near += np.copysign(0.5, near)
+            same = labels[a][piece, None] == there_labels[None]
+            if i == j:
+                once = ids[a][piece, None] < there_ids[None]
+                near, same = near[once], same[once]
+            if placed:
+                at = near.astype(np.int64)
+                at += bound
+                at *= 2
+                at += same
+                cells += np.bincount(at.ravel(), minlength=len(cells))
+            else:
+                for kind in (False, True):
+                    found.append((kind, *np.unique(np.trunc(near[same == kind]), return_counts=True)))
+        if placed:
+            found = [(bool(kind), np.flatnonzero(cells[kind::2]) - bound, cells[kind::2][cells[kind::2] > 0]) for kind in (0, 1)]
+        # Adding zero makes zero of minus zero, which would be a cell of its own.
+        yield from (pa.RecordBatch.from_pydict({"same": pa.array([kind] * len(n), pa.bool_()), "similarity": pa.array(value / scale + 0.0, pa.float64()), "n": pa.array(n, pa.int64())}) for kind, value, n in found)
+
+    def counted(key, table):
+        return pa.Table.from_batches(list(meet(key, table)), pa.schema([("same", pa.bool_()), ("similarity", pa.float64()), ("n", pa.int64())]))
+
+    return sent.groupBy("i", "j").applyInArrow(counted, "same boolean, similarity double, n long").groupBy("same", "similarity").agg(F.sum("n").alias("n"))
+
+
+def _times(pairs: DataFrame) -> Column:
+    """How many pairs a row stands for."""
+    return F.col("n") if "n" in pairs.columns else F.lit(1).cast("long")
+
+
+def _kinds(pairs: DataFrame) -> list[Column]:
+    """Genuine pairs and impostors in a group."""
+    return [F.sum(kind.cast("long") * _times(pairs)).alias(name) for kind, name in ((F.col("same"), "genuine"), (~F.col("same"), "impostor"))]
+
+
 def _thresholds(spark: SparkSession, values) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "step int, threshold double"))
 
 
 def far_frr(pairs: DataFrame, thresholds=FAR_THRESHOLDS) -> DataFrame:
-    """``threshold, far, frr`` of pairs ``same, similarity``.
+    """``threshold, far, frr`` of pairs ``same, similarity``, or of counted ones with ``n``.
 
     False accepts: the share of impostors at or above a threshold; false rejects: the share
     of genuine pairs below it. One pass counts pairs between neighbouring thresholds.
@@ -149,7 +217,7 @@ def far_frr(pairs: DataFrame, thresholds=FAR_THRESHOLDS) -> DataFrame:
     values = sorted(float(t) for t in thresholds)
     edges = F.array(*(F.lit(v) for v in values))
     cell = F.aggregate(edges, F.lit(0), lambda n, t: n + F.when(F.col("similarity") >= t, 1).otherwise(0))
-    counted = pairs.groupBy(cell.alias("cell")).agg(F.sum(F.col("same").cast("long")).alias("genuine"), F.sum((~F.col("same")).cast("long")).alias("impostor"))
+    counted = pairs.groupBy(cell.alias("cell")).agg(*_kinds(pairs))
     table = _thresholds(spark, values)
     per = counted.crossJoin(table)
     above = F.col("cell") > F.col("step")
@@ -174,7 +242,7 @@ def far_frr_grid(pairs: DataFrame, grid: np.ndarray) -> DataFrame:
     edges = F.array(*(F.lit(float(g)) for g in grid))
     at = F.least(F.greatest(guess, F.lit(-1)), F.lit(n - 1))
     up = F.when((at + 1 < n) & (F.col("similarity") >= F.get(edges, at + 1)), at + 1).otherwise(F.when((at >= 0) & (F.col("similarity") < F.get(edges, at)), at - 1).otherwise(at))
-    cells = pairs.groupBy(up.alias("step")).agg(F.sum(F.col("same").cast("long")).alias("genuine"), F.sum((~F.col("same")).cast("long")).alias("impostor"))
+    cells = pairs.groupBy(up.alias("step")).agg(*_kinds(pairs))
     table = _thresholds(spark, grid).unionByName(spark.createDataFrame([(-1, None)], "step int, threshold double"))
     upward = Window.orderBy(F.desc("step"))
     down = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
@@ -192,11 +260,12 @@ def threshold_at_far(pairs: DataFrame, far: float) -> DataFrame:
 
 
 def score_means(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(_mean_of("same").alias("mean_genuine"), _mean_of("not same").alias("mean_impostor"))
+    return pairs.agg(_mean_of(pairs, F.col("same")).alias("mean_genuine"), _mean_of(pairs, ~F.col("same")).alias("mean_impostor"))
 
 
-def _mean_of(condition: str) -> Column:
-    return F.avg(F.when(F.expr(condition), F.col("similarity")))
+def _mean_of(pairs: DataFrame, condition: Column) -> Column:
+    n = F.when(condition, _times(pairs))
+    return F.sum(F.col("similarity") * n) / F.sum(n)
 
 
 def fold_accuracy(pairs: DataFrame, order: list[str], folds: int = FOLDS, steps: int = FOLD_STEPS) -> DataFrame:

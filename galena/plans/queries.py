@@ -279,7 +279,7 @@ def impostor_sample(spark, sf_dir):
 
 
 def pairs_of(spark, sf_dir) -> DataFrame:
-    return metrics.labelled_pairs(gallery_of(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+    return metrics.pair_counts(gallery_of(spark, sf_dir), 4)
 
 
 def rounded(frame: DataFrame, *columns: str) -> DataFrame:
@@ -300,7 +300,7 @@ def equal_error_rate(spark, sf_dir):
 
 @query
 def threshold_at_far(spark, sf_dir):
-    p = pairs_of(spark, sf_dir).persist()
+    p = metrics.labelled_pairs(gallery_of(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4)).persist()
     return rounded(metrics.threshold_at_far(p, 1e-2).unionByName(metrics.threshold_at_far(p, 1e-3)), "threshold", "frr", "tar")
 
 

@@ -129,6 +129,32 @@ def test_far_frr_and_eer(spark):
     assert ci["low"] < ci["mean"] < ci["high"] and abs(ci["mean"] - 0.25) < 1e-9
 
 
+def counted(rows):
+    return sorted((r["same"], r["similarity"], r["n"]) for r in rows.collect())
+
+
+def test_pair_counts_are_those_of_all_pairs(spark):
+    """Signed halves, equal vectors, wide values and any number of blocks; no pair leaves a task."""
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(90, 4)) / 4, np.round(rng.normal(size=(90, 2)) * 2) / 64, rng.normal(size=(90, 3)) * 1000):
+        g = spark.createDataFrame([(i, None if i == 7 else str(i % 4), [float(e) for e in v]) for i, v in enumerate(x.astype(np.float32))], "id long, label string, embedding array<float>")
+        every = metrics.labelled_pairs(g.where("label is not null")).withColumn("similarity", F.round("similarity", 4) + F.lit(0.0))
+        want = counted(every.groupBy("same", "similarity").agg(F.count(F.lit(1)).alias("n")))
+        for block in (8, 8192):
+            assert counted(metrics.pair_counts(g, 4, block)) == want
+
+
+def test_counted_pairs_rate_as_pairs_do(spark):
+    rng = np.random.default_rng(6)
+    rows = [(bool(rng.integers(2)), float(s)) for s in rng.normal(0.4, 0.3, 500).round(2)]
+    pairs = spark.createDataFrame(rows, "same boolean, similarity double")
+    few = pairs.groupBy("same", "similarity").agg(F.count(F.lit(1)).alias("n"))
+    assert few.count() < 400
+    for f in (metrics.far_frr, metrics.equal_error_rate, metrics.score_means):
+        got, want = (sorted(map(tuple, f(p).collect())) for p in (few, pairs))
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
 def test_impostor_pairs(spark):
     rows = [(i, str(i % 5), [float(i), 1.0]) for i in range(200)]
     g = spark.createDataFrame(rows, "id long, label string, embedding array<double>")
