@@ -254,9 +254,9 @@ def far_frr_grid(pairs: DataFrame, grid: np.ndarray) -> DataFrame:
 
 def threshold_at_far(pairs: DataFrame, far: float) -> DataFrame:
     """``target_far, threshold, frr, tar``: the linear (1 - far) quantile of impostors."""
-    cut = pairs.where("not same").agg(F.percentile("similarity", F.lit(1 - far)).alias("threshold"))
-    below = (F.col("similarity") < F.col("threshold")).cast("double")
-    return pairs.where("same").crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg(below).alias("frr")).select(F.lit(far).alias("target_far"), "threshold", "frr", (1 - F.col("frr")).alias("tar"))
+    cut = pairs.where("not same").agg(F.percentile("similarity", F.lit(1 - far), _times(pairs)).alias("threshold"))
+    below = (F.col("similarity") < F.col("threshold")).cast("long") * _times(pairs)
+    return pairs.where("same").crossJoin(F.broadcast(cut)).groupBy("threshold").agg((F.sum(below) / F.sum(_times(pairs))).alias("frr")).select(F.lit(far).alias("target_far"), "threshold", "frr", (1 - F.col("frr")).alias("tar"))
 
 
 def score_means(pairs: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def test_counted_pairs_rate_as_pairs_do(spark):
     pairs = spark.createDataFrame(rows, "same boolean, similarity double")
     few = pairs.groupBy("same", "similarity").agg(F.count(F.lit(1)).alias("n"))
     assert few.count() < 400
-    for f in (metrics.far_frr, metrics.equal_error_rate, metrics.score_means):
+    for f in (metrics.far_frr, metrics.equal_error_rate, metrics.score_means, lambda p: metrics.threshold_at_far(p, 0.013)):
         got, want = (sorted(map(tuple, f(p).collect())) for p in (few, pairs))
         assert np.allclose(got, want, rtol=0, atol=1e-12)
 
