@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galena.functions.vectors import dot
 from galena.operators.quantizer import vectors_of
-from galena.operators.search import QUERY_BLOCK, query_blocks
+from galena.operators.search import QUERY_BLOCK, products, query_blocks
 
 #: Fixed values of the published evaluations.
 FAR_THRESHOLDS = tuple(round(0.20 + 0.05 * i, 2) for i in range(11))
@@ -157,16 +157,16 @@ def pair_counts(gallery: DataFrame, decimals: int = 4, block: int = COUNT_BLOCK)
         labels = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1]
         vectors = vectors_of(table.column("embedding")).astype(np.float64)
         a, b = part == i, part == j
-        wanted, there, there_ids, there_labels = vectors[a], vectors[b].T, ids[b], labels[b]
+        wanted, there, there_ids, there_labels = vectors[a], vectors[b], ids[b], labels[b]
         # No inner product exceeds the product of the largest norms.
-        widest = [np.sqrt((v * v).sum(1).max(initial=0.0)) for v in (wanted, there.T)]
+        widest = [np.sqrt((v * v).sum(1).max(initial=0.0)) for v in (wanted, there)]
         bound = widest[0] * widest[1] * scale + 2
         placed = bool(bound * 4 < COUNT_CELLS)
         bound = int(bound) if placed else 0
         cells, found = np.zeros(2 * (2 * bound + 1), np.int64), []
         for start in range(0, len(wanted), PAIR_ROWS):
             piece = slice(start, start + PAIR_ROWS)
-            near = wanted[piece] @ there
+            near = products(wanted[piece], there)
             near *= scale
             near += np.copysign(0.5, near)
             same = labels[a][piece, None] == there_labels[None]

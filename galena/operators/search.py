@@ -52,6 +52,20 @@ def query_blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator
         yield numbered.where(F.col("part") == part).drop("part").toArrow()
 
 
+#: Rows that a matrix is padded to a multiple of.
+TILE = 64
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``a`` with those of ``b``.
+
+    A matrix product sums its edges in another order, so equal rows may differ in the last bit
+    by where they stand, and ties would not go by id. With whole tiles there are no edges.
+    """
+    whole = [np.concatenate([x, np.zeros((-len(x) % TILE, x.shape[1]), x.dtype)]) if len(x) % TILE else x for x in (a, b)]
+    return (whole[0] @ whole[1].T)[: len(a), : len(b)]
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` least scores, ties by id."""
     if len(scores) > k:
@@ -159,7 +173,7 @@ def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, query_block: int
     if k < 1:
         raise ValueError("k must be at least 1")
     read = lambda table: vectors_of(table.column("embedding")).astype(np.float64)
-    out = _scan(queries, gallery, ["embedding"], k, query_block, read, lambda wanted, there: -(wanted @ there.T))
+    out = _scan(queries, gallery, ["embedding"], k, query_block, read, lambda wanted, there: -products(wanted, there))
     top = ranked(out, k, F.asc("distance"), F.asc("id"))
     return top.join(gallery.select("id", "label"), "id").select("query_id", "rank", "id", "label", (-F.col("distance")).alias("similarity"))
 
@@ -205,9 +219,13 @@ def rerank(shortlist: DataFrame, queries: DataFrame, gallery: DataFrame, k: int)
 def two_phase_topk(queries: DataFrame, gallery: DataFrame, quantizer: Quantizer, k: int, n_candidates: int | None = None) -> DataFrame:
     """Shortlist by Hamming distance, then re-rank by inner product.
 
-    With a shortlist of the whole gallery the result is the exact one.
+    With a shortlist of the whole gallery the result is the exact one, and is computed as such:
+    listing every pair to leave none out would only store them.
     """
-    short = hamming_topk(quantizer.encode(queries), gallery, quantizer.words, shortlist_size(k, n_candidates))
+    n = shortlist_size(k, n_candidates)
+    if n > shortlist_size(k, None) and gallery.count() <= n:
+        return exact_topk(queries, gallery, k)
+    short = hamming_topk(quantizer.encode(queries), gallery, quantizer.words, n)
     return rerank(short, queries, gallery, k)
 
 

@@ -71,6 +71,33 @@ def test_two_phase_with_whole_shortlist_is_exact(spark, small):
     assert search.shortlist_size(20, None) == 200
 
 
+def test_whole_shortlist_lists_no_pairs(spark, small, monkeypatch):
+    """Queries, gallery and results are all that is stored, not a row for every pair."""
+    asked, quantizer = queries(spark, unit(120)), random_projection(32, 64)
+    want = top(search.exact_topk(asked, small, 4))
+
+    def listed(*_):
+        raise AssertionError("a shortlist of every pair")
+
+    monkeypatch.setattr(search, "rerank", listed)
+    coded = quantizer.encode(small)
+    assert top(search.two_phase_topk(asked, coded, quantizer, 4, n_candidates=120)) == want
+    assert top(search.two_phase_topk(asked, coded, quantizer, 4, n_candidates=10**6)) == want
+    with pytest.raises(AssertionError):
+        search.two_phase_topk(asked, coded, quantizer, 4, n_candidates=119)
+
+
+@pytest.mark.parametrize("block", [61, 4096])
+def test_copies_tie_by_id(spark, block):
+    """Copies are equally similar wherever they stand in a matrix."""
+    x = np.random.default_rng(2).normal(size=(3, 33)).astype(np.float32)
+    g = frame(spark, np.tile(x, (333, 1))).repartition(3)
+    q = np.random.default_rng(3).normal(size=(100, 33)).astype(np.float32)
+    best = (q @ x.T).argmax(1)
+    got = top(search.exact_topk(queries(spark, q), g, 9, query_block=block))
+    assert got == {(i, r + 1): int(best[i]) + 3 * r for i in range(100) for r in range(9)}
+
+
 def test_pca_itq(spark, tmp_path):
     x = unit(1100)
     g = frame(spark, x)
