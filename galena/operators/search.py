@@ -86,14 +86,15 @@ class _Nearest:
         self.n, self.k, self.worst, self.new = n, k, np.full(n, np.inf), []
         self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
 
-    def add(self, distance: np.ndarray, ids: np.ndarray) -> None:
-        limit = self.worst
+    def add(self, distance: np.ndarray, ids: np.ndarray, of: np.ndarray | None = None) -> None:
+        """``of``: the queries that the rows of ``distance`` belong to, if not all."""
+        limit = self.worst if of is None else self.worst[of]
         if distance.shape[1] > self.k and np.isinf(limit).any():
             limit = np.minimum(limit, np.partition(distance, self.k - 1, axis=1)[:, self.k - 1])
         row, column = np.nonzero(distance <= limit[:, None])
         if len(row):
-            self.new.append((row, distance[row, column], ids[column]))
-            if np.isinf(self.worst).any() or sum(len(r) for r, _, _ in self.new) > self.n * self.k:
+            self.new.append((row if of is None else of[row], distance[row, column], ids[column]))
+            if of is None and np.isinf(self.worst).any() or sum(len(r) for r, _, _ in self.new) > self.n * self.k:
                 self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,10 +116,11 @@ HITS = "query_id long, id long, distance double"
 
 
 def _nearest(query_ids: np.ndarray, parts, k: int) -> pa.RecordBatch:
-    """``parts``: ids and a matrix of distances (a row for each query) at a time."""
+    """``parts``: ids and a matrix of distances at a time, with a row for each query, or for
+    those that come third."""
     best = _Nearest(len(query_ids), k)
-    for ids, distance in parts:
-        best.add(distance, ids)
+    for ids, distance, *of in parts:
+        best.add(distance, ids, *of)
     row, value, ids = best.settle()
     return pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[row], pa.int64()), "id": pa.array(ids, pa.int64()), "distance": pa.array(value, pa.float64())})
 
@@ -178,6 +180,17 @@ def exact_topk(queries: DataFrame, gallery: DataFrame, k: int, query_block: int
     return top.join(gallery.select("id", "label"), "id").select("query_id", "rank", "id", "label", (-F.col("distance")).alias("similarity"))
 
 
+def codes_of(table: pa.Table | pa.RecordBatch, words: list[str]) -> list[np.ndarray]:
+    return [np.asarray(table.column(w)).astype(np.int64) for w in words]
+
+
+def code_distances(wanted: list[np.ndarray], there: list[np.ndarray]) -> np.ndarray:
+    total = np.zeros((len(wanted[0]), len(there[0])), np.uint16)
+    for own, other in zip(wanted, there, strict=True):
+        total += np.bitwise_count((own[:, None] ^ other[None, :]).view(np.uint64))
+    return total.astype(np.float32)
+
+
 def hamming_topk(queries: DataFrame, gallery: DataFrame, words: list[str], k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, id, hamming``: the ``k`` nearest codes by (distance, id).
 
@@ -186,16 +199,7 @@ def hamming_topk(queries: DataFrame, gallery: DataFrame, words: list[str], k: in
     if k < 1:
         return gallery.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).cast("long").alias("hamming")).limit(0)
 
-    def read(table):
-        return [np.asarray(table.column(w)).astype(np.int64) for w in words]
-
-    def distances(wanted, there):
-        total = np.zeros((len(wanted[0]), len(there[0])), np.uint16)
-        for own, other in zip(wanted, there, strict=True):
-            total += np.bitwise_count((own[:, None] ^ other[None, :]).view(np.uint64))
-        return total.astype(np.float32)
-
-    out = _scan(queries, gallery, words, k, query_block, read, distances)
+    out = _scan(queries, gallery, words, k, query_block, lambda table: codes_of(table, words), code_distances)
     return ranked(out, k, F.asc("distance"), F.asc("id")).select("query_id", "rank", "id", F.col("distance").cast("long").alias("hamming"))
 
 

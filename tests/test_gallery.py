@@ -128,6 +128,43 @@ def test_ivf_covers_and_full_probe_equals_scan(spark, small):
         ivf.probe(q, centroids, 0)
 
 
+@pytest.mark.parametrize("block, rows", [(16, 25), (2048, 65_536)])
+def test_probed_codes_against_numpy(spark, small, block, rows):
+    """Blocks of queries and bundles of clusters, one of them in several pieces, hold the
+    nearest codes of the probed clusters; no task sends more than k rows a query."""
+    centroids = ivf.fit_centroids(small, 6)
+    quantizer = random_projection(32, 64)
+    coded = quantizer.encode(ivf.assign_clusters(small, centroids)).persist()
+    asked = quantizer.encode(queries(spark, unit(70, seed=6))).persist()
+    sizes = dict(coded.groupBy("cluster_id").count().collect())
+    members, places = ivf.bundled(sizes, 25)
+    assert max(p for _, p in places.values()) > 1 and len(members) > len(sizes) / 2
+    g = {r["id"]: (r["c0"], r["cluster_id"]) for r in coded.collect()}
+    for n_probe in (1, 2, 6):
+        probes = {}
+        for r in ivf.probe(asked, centroids, n_probe).collect():
+            probes.setdefault(r["query_id"], set()).add(r["cluster_id"])
+        want = {}
+        for q in asked.collect():
+            near = sorted(((q["c0"] ^ c) % 2**64).bit_count() * 1000 + i for i, (c, home) in g.items() if home in probes[q["query_id"]])
+            want |= {(q["query_id"], n + 1): x % 1000 for n, x in enumerate(near[:5])}
+        found = ivf.nearest_probed(asked, coded, quantizer.words, centroids, 5, n_probe, block, rows)
+        assert top(search.ranked(found, 5, F.asc("distance"), F.asc("id"))) == want
+        assert found.count() <= 70 * 5 * len(ivf.bundled(sizes, rows)[0])
+
+
+def test_full_probe_ranks_few_rows(spark, small, monkeypatch):
+    """What is sorted for the shortlist are k rows a query and bundle, not all pairs."""
+    centroids, quantizer = ivf.fit_centroids(small, 6), random_projection(32, 64)
+    coded = quantizer.encode(ivf.assign_clusters(small, centroids))
+    seen = []
+    monkeypatch.setattr(ivf, "ranked", lambda rows, *a: seen.append(rows.count()) or search.ranked(rows, *a))
+    hits = ivf.clustered_topk(queries(spark, unit(120)), coded, quantizer, centroids, 3, 6, 10)
+    assert hits.count() == 360 and seen == [1200]
+    assert ivf.clustered_topk(queries(spark, unit(3)).limit(0), coded, quantizer, centroids, 3).count() == 0
+    assert ivf.clustered_topk(queries(spark, unit(3)), coded.limit(0), quantizer, centroids, 3).count() == 0
+
+
 def test_gallery_round_trip(spark, tmp_path):
     path = str(tmp_path / "g")
     g = Gallery.create(frame(spark, unit(60)), 32, 64)
